@@ -18,5 +18,33 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.token_digest(table(spark, sf_dir, "documents"), model)
 
 
-QUERIES = {"op10_sentencepiece": op10_sentencepiece}
-ORACLE_SQL: dict[str, str] = {}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .linededup import dedup_lines
+
+    out = dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, u.line, u.pos, lower_key AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents) u,
+       LATERAL (SELECT translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key)
+), held AS (
+  SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT l.doc_id, l.line, l.pos, h.key IS NOT NULL AND h.last <> l.doc_id AS gone FROM lines l LEFT JOIN held h ON l.key = h.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
+}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
