@@ -43,8 +43,43 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .decontaminate import contamination, find_matches
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = contamination(find_matches(spark, docs, table(spark, sf_dir, "benchmark")))
+    return out.select("doc_id", F.col("n_words").cast("long"), "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP6_SQL = r"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT item_id, least(13, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i : i + least(13, len(w)) - 1], ' '))) AS win
+  FROM items WHERE len(w) > 0
+), docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), lengths AS (SELECT DISTINCT n FROM windows),
+starts AS (
+  SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p0 FROM docs, lengths WHERE len(w) >= n
+), hits AS (
+  SELECT s.doc_id, s.p0, s.n, x.item_id FROM (SELECT doc_id, p0, n, array_to_string(w[p0 : p0 + n - 1], ' ') AS win FROM starts) s JOIN windows x ON x.n = s.n AND x.win = s.win
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(p0, p0 + n)) AS p FROM (SELECT DISTINCT doc_id, p0, n FROM hits)) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items, sha256(coalesce(f.ids, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
+
 QUERIES = {
     "op5_line_dedup": op5_line_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
