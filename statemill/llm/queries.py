@@ -18,6 +18,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.token_digest(table(spark, sf_dir, "documents"), model)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(spark, docs.where(~held_out()).select("text", "lang"))
+    out = predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -78,6 +89,7 @@ FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
