@@ -10,6 +10,14 @@ from .shared import table
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(spark, docs, table(spark, sf_dir, "labels").withColumn("grade", quality.grades()))
+    return quality.score(docs, model).drop("text")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokenization
 
@@ -92,6 +100,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op8_quality": op8_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
