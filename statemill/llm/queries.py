@@ -37,6 +37,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import jaccard_components
+
+    return jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -96,11 +102,33 @@ FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM words
+), flat AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS s FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other
+)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op8_quality": op8_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
