@@ -10,6 +10,12 @@ from .shared import table
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectordedup import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -128,6 +134,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_quality": op8_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
