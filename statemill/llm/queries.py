@@ -43,6 +43,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urlfilter
+
+    model = urlfilter.train(spark, spark.createDataFrame(urlfilter.labelled_urls(), "url string, label int"))
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model).drop("url")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngramjoin import jaccard_components
 
@@ -131,6 +138,7 @@ FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_url_filter": op2_url_filter,
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
