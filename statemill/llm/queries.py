@@ -24,6 +24,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).drop("text")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import secrets
+
+    model = secrets.train(secrets.default_samples(spark))
+    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    found, own = F.col("found"), secrets.KINDS[:3]
+    base = secrets.of_kind(found, *own)
+    counts = [F.size(secrets.of_kind(found, k)).cast("long").alias(f"n_{k}") for k in own]
+    return out.select("doc_id", *counts, F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(found).alias("spans"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokenization
 
@@ -144,6 +157,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_vector_dedup": op7_vector_dedup,
     "op8_quality": op8_quality,
+    "op9_secret_scan": op9_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
