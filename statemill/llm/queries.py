@@ -63,6 +63,42 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model).drop("url")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .licenses import scan
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.coalesce(F.array_max(F.transform("licenses", lambda x: x["dice"])), F.lit(0.0))
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"), F.round(best, 6).alias("best_dice"))
+
+
+def op3_sql() -> str:
+    """The same comparison of every unit with every template, without any pruning."""
+    from .licenses import TEMPLATES, bigrams_of, words_of
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, bigrams_of(words_of(text))))}])" for name, text in TEMPLATES)
+    return rf"""
+WITH templates(license, grams) AS (VALUES {rows}),
+low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+units AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS u FROM low
+  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(t, '\n[\t\r ]*\n')) FROM low
+  UNION ALL SELECT doc_id, t FROM low
+), words AS (
+  SELECT doc_id, regexp_extract_all(u, '[a-z0-9]+(?:\.[a-z0-9]+)*') AS w FROM (SELECT DISTINCT doc_id, u FROM units)
+), grams AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1
+), scored AS (
+  SELECT doc_id, license, max(2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams))) AS dice FROM grams g, templates GROUP BY doc_id, license
+), found AS (
+  SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names, max(dice) AS best FROM scored WHERE dice >= 0.8 GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, round(CAST(coalesce(best, 0) AS DOUBLE), 6) AS best_dice FROM documents d LEFT JOIN found USING (doc_id)
+"""
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngramjoin import jaccard_components
 
@@ -152,6 +188,7 @@ FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
+    "op3_license_scan": op3_license_scan,
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
@@ -160,4 +197,4 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": op3_sql(), "op4_ngram_join": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
