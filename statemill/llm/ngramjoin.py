@@ -1,19 +1,22 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Texts become sets of hashed word shingles; equal sets are one node, so copies cost nothing further. All shingles stand
-in one global order, rare ones first (by a sketch of their document counts, then by hash). The order is cut into
-fragments; a pair's overlap is counted fragment by fragment and summed.
+in one global order, and the order is cut into fragments; a pair's overlap is counted fragment by fragment and summed.
 
-* The rare end is the candidate fragment: two sets over the threshold share a shingle among the first
-  ``n - ceil(t n) + 1`` of each. Partial overlaps there are summed per pair, and pairs whose sum leaves the threshold out
-  of reach go no further.
+* Common shingles, by a sketch of their counts over all documents, come last. Of the others a range of hashes, the head,
+  comes first, in the order of the exact number of nodes that have them, rare ones first; the rest follows by hash.
+* Two sets over the threshold share a shingle among the first ``n - ceil(t n) + 1`` of each. For nearly every text these
+  lie in the head and are its own alone, which settles that it has no partner. For the others partial overlaps are summed
+  per pair there, and pairs whose sum leaves the threshold out of reach go no further.
 * The pairs left are verified exactly: the sets of their nodes are cut at the fragments' bounds, each fragment's
   overlap is counted by itself, and the counts are summed.
 
 Large groups of near copies must not become all their pairs. So first every node is held against a few pivots only (of
-each shared shingle the nodes with the least hash, two hash functions), which joins nearly every group. After that only
-pairs between different components are generated: what is left out lies inside a component already and cannot change
-the answer, so the components are those of all links.
+each shared shingle the two nodes that have most of their first shingles in common with others: the ones in the middle
+of a group), which joins nearly every group. After that only pairs between different components are generated: what is
+left out lies inside a component already and cannot change the answer, so the components are those of all links.
+
+The sketch has a fixed size and decides about the order alone: whatever it says, the result is the same.
 
 Every shuffle is keyed by a shingle, a node or a pair; lists of a shingle's nodes are streamed, never gathered.
 """
@@ -22,14 +25,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, components, shuffle_partitions
 
 _MASK = 0xFFFFFFFFFFFFFFFF
 _BASE = 0x9E3779B97F4A7C15 | 1
-_KEY_BITS = 58  # of a shingle's hash within its rank; the class of its count stands above
 
 
 @dataclass(frozen=True)
@@ -37,8 +39,10 @@ class Settings:
     words: int = 5
     numerator: int = 80
     denominator: int = 100
-    sketch_bits: int = 22  # 2**22 counters: 4 MB with each task and on the driver, whatever the input
-    fragments: int = 4
+    head: float = 0.3  # share of the hashes whose shingles are counted
+    sketch_bits: int = 22  # 2**22 counters: 4 MB from each task, and a bit each for all executors
+    common: tuple[int, int] = (4, 64)  # a counter above 4 times the mean plus 64 is common
+    fragments: int = 4  # the head included
     pivots: int = 2
     chunk_chars: int = 1_000_000
 
@@ -128,6 +132,12 @@ def _chunks(batches, at: int, most: int):
             size += len(t or b"")
 
 
+def fragment_bounds(s: Settings) -> list[int]:
+    """The hashes that part the fragments: the end of the head, then even steps."""
+    head = int(s.head * 2**64)
+    return [head + (2**64 - head) * f // (s.fragments - 1) for f in range(s.fragments - 1)]
+
+
 _BLOCK = 1 << 14
 
 
@@ -135,7 +145,7 @@ def _first_pass(s: Settings):
     """Each row's set size and name, and at the end of a task its counts of shingles (saturating bytes, by hash)."""
     import pyarrow as pa
 
-    names = ["doc_id", "n", "node", "check", "block", "counts"]
+    names = ["doc_id", "n", "node", "block", "counts"]
 
     def run(batches):
         import numpy as np
@@ -146,18 +156,24 @@ def _first_pass(s: Settings):
         for part, texts in _chunks(batches, 1, s.chunk_chars):
             any_ = True
             sets = shingle_sets(texts, s.words)
-            seen += np.bincount((np.concatenate(sets) >> np.uint64(64 - s.sketch_bits)).astype(np.int64), minlength=size).astype(np.uint32)
-            name = [_name(x) for x in sets]
+            seen += np.bincount(_counter(np.concatenate(sets), s), minlength=size).astype(np.uint32)
             none = pa.nulls(len(texts))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in name], pa.int64()), pa.array([x[1] for x in name], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_name(x)[0] for x in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if any_:
             low = np.minimum(seen, 255).astype(np.uint8).reshape(-1, min(_BLOCK, size))
             none = pa.nulls(len(low), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(low)), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(low)), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], names)
 
     return run
 
 
+def _counter(own, s: Settings):
+    """A shingle's counter: bits of the hash that don't say whether it is in the head."""
+    import numpy as np
+
+    return (own & np.uint64((1 << s.sketch_bits) - 1)).astype(np.int64)
+
+
 def _add_blocks(batches):
     """Sums the counts of each block that this partition gets, as they stream past."""
     import numpy as np
@@ -169,19 +185,19 @@ def _add_blocks(batches):
             more = np.frombuffer(counts, np.uint8)
             sums[block] = sums[block] + more if block in sums else more.astype(np.uint32)
     for block, total in sums.items():
-        level = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)  # classes of counts: two for each doubling
-        mass = np.bincount(level, total, 64)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.minimum(level, 63).tobytes()], pa.binary()), pa.array([mass.tolist()], pa.list_(pa.float64()))], ["block", "levels", "mass"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
 
 
-def _ranks(own, levels, bits: int):
-    """A set in the global order: the class of each shingle's count above the rest of its hash, sorted."""
+def common_counters(blocks: DataFrame, s: Settings) -> bytes:
+    """A bit for each counter: far above the mean. The driver gets 4 bytes for each counter."""
     import numpy as np
 
-    level = levels[(own >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
-    keys = (level << np.uint64(_KEY_BITS)) | (own & np.uint64((1 << _KEY_BITS) - 1))
-    keys.sort()
-    return keys
+    size = 1 << s.sketch_bits
+    counts = np.zeros((size // min(_BLOCK, size), min(_BLOCK, size)), np.int64)
+    for r in blocks.repartition(shuffle_partitions(blocks.sparkSession), "block").mapInArrow(_add_blocks, "block int, counts binary").toLocalIterator():
+        counts[r["block"]] = np.frombuffer(r["counts"], "<u4")
+    factor, more = s.common
+    return np.packbits(counts.ravel() > factor * counts.mean() + more).tobytes()
 
 
 def needed_of_one(n: int, s: Settings) -> int:
@@ -189,24 +205,38 @@ def needed_of_one(n: int, s: Settings) -> int:
     return -(-s.numerator * n // s.denominator)
 
 
-def _prefixes(levels_var, s: Settings):
+def ordered(own, common, s: Settings):
+    """(a set in the global order as far as the hashes decide it, the number of its shingles whose counts decide)."""
+    import numpy as np
+
+    head = np.uint64(fragment_bounds(s)[0])
+    last = common[_counter(own, s)].astype(bool)
+    plain = own[~last]
+    return np.concatenate([plain, own[last]]), int(np.searchsorted(plain, head))
+
+
+def _postings(common_var, s: Settings):
+    """Of each set all shingles of the head, and those behind it that the prefix needs where the head holds too few."""
     import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
-        levels = np.frombuffer(levels_var.value, np.uint8)
+        common = np.unpackbits(np.frombuffer(common_var.value, np.uint8))
         for _, texts in _chunks(batches, 0, s.chunk_chars):
-            keys, nodes, sizes, reps = [], [], [], []
+            keys, nodes, sizes, heads, reps = [], [], [], [], []
             for own in shingle_sets(texts, s.words):
                 if n := len(own):
-                    p = n - needed_of_one(n, s) + 1
-                    keys.append(_ranks(own, levels, s.sketch_bits)[:p])
+                    row, k = ordered(own, common, s)
+                    most = max(n - needed_of_one(n, s) + 1, k)
+                    keys.append(row[:most])
                     nodes.append(_name(own)[0])
                     sizes.append(n)
-                    reps.append(p)
+                    heads.append(k)
+                    reps.append(most)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), reps)), pa.array(np.repeat(np.array(sizes, np.int32), reps))], ["key", "node", "n"])
+                spread = lambda x, kind: pa.array(np.repeat(np.array(x, kind), reps))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), spread(nodes, np.int64), spread(sizes, np.int32), spread(heads, np.int32)], ["key", "node", "n", "k"])
 
     return run
 
@@ -234,27 +264,25 @@ def _only_shared(batches):
             shared = bool(same[-1])
         held = [c[-1] for c in cols]
         if stay[:-1].any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][stay[:-1]].astype(k)) for c, k in zip(cols, ("i8", "i8", "i4"), strict=True)], ["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][stay[:-1]].astype(k)) for c, k in zip(cols, ("i8", "i8", "i4", "i4"), strict=True)], ["key", "node", "n", "k"])
     if held is not None and shared:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([h], k)) for h, k in zip(held, ("i8", "i8", "i4"), strict=True)], ["key", "node", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([h], k)) for h, k in zip(held, ("i8", "i8", "i4", "i4"), strict=True)], ["key", "node", "n", "k"])
 
 
-def _segments(levels_var, bounds: list[int], s: Settings):
+def _segments(s: Settings):
     import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
-        levels = np.frombuffer(levels_var.value, np.uint8)
-        cut = np.array(bounds, np.uint64)
+        cut = np.array(fragment_bounds(s), np.uint64)
         for part, texts in _chunks(batches, 1, s.chunk_chars):
             want = part.column(0).to_pylist()
             node, frag, keys = [], [], []
             for w, own in zip(want, shingle_sets(texts, s.words), strict=True):
                 if not len(own) or _name(own)[0] != w:
                     continue  # another text under the same id
-                ranks = _ranks(own, levels, s.sketch_bits)
-                for f, seg in enumerate(np.split(ranks, np.searchsorted(ranks, cut))):
+                for f, seg in enumerate(np.split(own, np.searchsorted(own, cut))):
                     if len(seg):
                         node.append(w)
                         frag.append(f)
@@ -266,20 +294,6 @@ def _segments(levels_var, bounds: list[int], s: Settings):
     return run
 
 
-def fragment_bounds(mass, fragments: int) -> list[int]:
-    """Ranks that cut the global order into parts of equal numbers of shingles (counted with their documents)."""
-    import numpy as np
-
-    total, out, done = float(np.sum(mass)), [], 0.0
-    for level, m in enumerate(mass):
-        for f in range(1, fragments):
-            goal = total * f / fragments
-            if m and done < goal <= done + m:
-                out.append((level << _KEY_BITS) + min((1 << _KEY_BITS) - 1, int((goal - done) / m * (1 << _KEY_BITS))))
-        done += m
-    return out
-
-
 # ---- pairs ---------------------------------------------------------------------------------------------------------
 
 
@@ -292,10 +306,28 @@ def _prefix_size(n, s: Settings):
     return n - F.ceil(n * s.numerator / s.denominator) + 1
 
 
+def prefixes(shared: DataFrame, s: Settings) -> DataFrame:
+    """(key, node, n, room, common): of the shared shingles those in a node's prefix, their number at most, and which share of the prefix that is.
+
+    Shingles that a node has alone come first in the order; how many of the head's there are follows from their number
+    and that of the shared ones, so they need no rows. A node whose prefix is its own alone disappears.
+    """
+    counted = shared.join(shared.groupBy("key").agg(F.count("*").alias("df")), "key")
+    own = shared.groupBy("node").agg(F.count("*").alias("held"), F.first("n").alias("n"), F.first("k").alias("k"))
+    size = _prefix_size(F.col("n"), s)
+    room = F.when(F.col("k") >= size, size - (F.col("k") - F.col("held"))).otherwise(F.col("held"))
+    roomy = own.select("node", room.alias("room"), size.alias("size")).where("room > 0")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
+    placed = counted.join(roomy, "node").withColumn("rank", rank).where("rank <= room")
+    return placed.select("key", "node", "n", F.col("room").cast("int").alias("room"), (F.col("room") / F.col("size")).alias("common"))
+
+
 def star_pairs(shared: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): each node with the pivots that it shares most candidate shingles with; two for each node."""
-    best = [F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node"), F.col("n"))).alias(f"p{r}") for r in range(s.pivots)]
-    pivots = shared.groupBy("key").agg(*best).select("key", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{r}.node").alias("pivot"), F.col(f"p{r}.n").alias("m")) for r in range(s.pivots))))).alias("p")).select("key", "p.*")
+    """(a, b): each node with the pivots that it shares most of its first shingles with; two for each node."""
+    order = F.struct((-F.col("common")).alias("o"), F.xxhash64("node").alias("h"), F.col("node"), F.col("n"))
+    top = shared.groupBy("key").agg(F.min(order).alias("p0"))
+    second = shared.join(top, "key").where(F.col("node") != F.col("p0.node")).groupBy("key").agg(F.min(order).alias("p0"))
+    pivots = top.unionByName(second).select("key", F.col("p0.node").alias("pivot"), F.col("p0.n").alias("m"))
     pairs = shared.join(pivots, "key").where((F.col("node") != F.col("pivot")) & _fits(F.col("n"), F.col("m"), s))
     counted = pairs.groupBy("node", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") * 4 >= _prefix_size(F.col("n"), s))
     top = counted.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), F.col("pivot")))), 1, 2).alias("top"))
@@ -307,12 +339,13 @@ def cross_pairs(shared: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     named = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rows = named.join(mixed, "key")
-    other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = rows.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _fits(F.col("n"), F.col("m"), s))
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("room").alias("space"), F.col("component").alias("other"))
     # whichever prefix ends first in the global order, all that the two share in it is counted
-    reach = F.col("c") + F.greatest(F.col("n") - _prefix_size(F.col("n"), s), F.col("m") - _prefix_size(F.col("m"), s))
-    return counted.where(reach * (s.numerator + s.denominator) >= (F.col("n") + F.col("m")) * s.numerator).select("a", "b")
+    behind = F.greatest(F.col("n") - _prefix_size(F.col("n"), s), F.col("m") - _prefix_size(F.col("m"), s))
+    enough = lambda c: (c + behind) * (s.numerator + s.denominator) >= (F.col("n") + F.col("m")) * s.numerator
+    pairs = rows.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _fits(F.col("n"), F.col("m"), s) & enough(F.least("room", "space")))
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return counted.where(enough(F.col("c"))).select("a", "b")
 
 
 def verify(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
@@ -340,20 +373,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     s = settings
     scratch = Scratch(spark, "ngramjoin")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = scratch.save(rows.mapInArrow(_first_pass(s), "doc_id long, n long, node long, check long, block int, counts binary"))
+    first = scratch.save(rows.mapInArrow(_first_pass(s), "doc_id long, n long, node long, block int, counts binary"))
     names = first.where(F.col("block").isNull()).select("doc_id", "n", "node")
-    blocks = first.where(F.col("block").isNotNull()).select("block", "counts").repartition(shuffle_partitions(spark), "block").mapInArrow(_add_blocks, "block int, levels binary, mass array<double>").collect()  # a fixed number of bytes
-    size = min(_BLOCK, 1 << s.sketch_bits)
-    by_block = {r["block"]: bytes(r["levels"]) for r in blocks}
-    levels = b"".join(by_block.get(k, bytes(size)) for k in range((1 << s.sketch_bits) // size))
-    mass = [sum(r["mass"][k] for r in blocks) for k in range(64)]
-    levels_var = spark.sparkContext.broadcast(levels)
+    common_var = spark.sparkContext.broadcast(common_counters(first.where(F.col("block").isNotNull()).select("block", "counts"), s))
     n_parts = shuffle_partitions(spark)
     known = names.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     nodes = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
-    prefix = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(levels_var, s), "key long, node long, n int")
-    shared = scratch.save(prefix.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_only_shared, "key long, node long, n int"))
-    bounds = fragment_bounds(mass, s.fragments)
+    postings = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(common_var, s), "key long, node long, n int, k int")
+    held = scratch.save(postings.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_only_shared, "key long, node long, n int, k int"))
+    shared = scratch.save(prefixes(held, s))
+    scratch.drop(held)
     none = spark.createDataFrame([], "src long, dst long")
 
     def links_of(pairs: DataFrame) -> DataFrame:
@@ -362,7 +391,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
             return none
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("rep").alias("doc_id"))
         texts = rows.join(ends, "doc_id").select("node", "text")
-        segments = scratch.save(texts.mapInArrow(_segments(levels_var, bounds, s), "node long, frag int, keys array<long>").dropDuplicates(["node", "frag"]))
+        segments = scratch.save(texts.mapInArrow(_segments(s), "node long, frag int, keys array<long>").dropDuplicates(["node", "frag"]))
         found = scratch.save(verify(pairs, segments, nodes.select("node", "n"), s))
         scratch.drop(segments)
         return found

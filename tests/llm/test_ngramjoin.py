@@ -50,16 +50,16 @@ def corpus(seed, n=120):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_all_pairs(spark, seed):
     docs = corpus(seed)
-    assert run(spark, docs, sketch_bits=14, chunk_chars=500) == brute(docs)
+    assert run(spark, docs, chunk_chars=500) == brute(docs)
 
 
 def test_odd_rows(spark):
     docs = [(5, "one two three four five six"), (3, "One two\nthree four FIVE six"), (9, None), (8, ""), (7, " \t\n"), (6, "few words"), (2, "few WORDS"), (1, "words few")]
-    assert run(spark, docs, sketch_bits=14) == brute(docs)
-    assert run(spark, [], sketch_bits=14) == []
+    assert run(spark, docs) == brute(docs)
+    assert run(spark, []) == []
     repeated = [(4, "a b c d e f")] * 3 + [(None, "a b c d e f"), (2, "a b c d e f")]
     got = spark.createDataFrame(repeated, "doc_id long, text string")
-    rows = [tuple(r) for r in nj.jaccard_components(spark, got, settings=nj.Settings(sketch_bits=14)).collect()]
+    rows = [tuple(r) for r in nj.jaccard_components(spark, got, settings=nj.Settings()).collect()]
     assert sorted(rows, key=repr) == [(2, 2, 2), (4, 2, 2), (4, 2, 2), (4, 2, 2), (None, 2, None)]
 
 
@@ -72,30 +72,36 @@ def test_large_group_of_near_copies_makes_few_pairs(spark):
         body[rng.randrange(300)] = f"own{i}"
         docs.append((i, " ".join(body)))
     docs.append((999, "x " + " ".join(base[:100])))
-    s = nj.Settings(sketch_bits=14)
-    rows = spark.createDataFrame(docs, "doc_id long, text string").select("text").mapInArrow(nj._prefixes(spark.sparkContext.broadcast(bytes(1 << 14)), s), "key long, node long, n int")
-    shared = rows.repartition(3, "key").sortWithinPartitions("key", "node").mapInArrow(nj._only_shared, "key long, node long, n int")
+    s = nj.Settings()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    none = spark.sparkContext.broadcast(bytes((1 << s.sketch_bits) // 8))
+    postings = df.select("text").mapInArrow(nj._postings(none, s), "key long, node long, n int, k int")
+    held = postings.repartition(3, "key").sortWithinPartitions("key", "node").mapInArrow(nj._only_shared, "key long, node long, n int, k int")
+    shared = nj.prefixes(held, s).cache()
     assert nj.star_pairs(shared, s).count() <= 2 * len(docs)
-    assert run(spark, docs, sketch_bits=14) == brute(docs)
+    assert run(spark, docs) == brute(docs)
 
 
 def test_shared_rows_survive_batch_bounds():
     import pyarrow as pa
 
-    rows = sorted((k, n, 3) for k, count in ((1, 1), (2, 3), (3, 1), (4, 2), (5, 1)) for n in range(count) for _ in range(1 + (n == 1)))
+    rows = sorted((k, n, 3, 9) for k, count in ((1, 1), (2, 3), (3, 1), (4, 2), (5, 1)) for n in range(count) for _ in range(1 + (n == 1)))
     want = sorted({r for r in rows if r[0] in (2, 4)})
     for cuts in combinations(range(len(rows) + 1), 2):
         parts = [rows[: cuts[0]], rows[cuts[0] : cuts[1]], rows[cuts[1] :]]
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in p], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["key", "node", "n"]) for p in parts]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in p], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "node", "n", "k"]) for p in parts]
         assert sorted(tuple(r.values()) for b in nj._only_shared(iter(batches)) for r in b.to_pylist()) == want
 
 
-def test_fragments_share_the_order_evenly():
-    mass = [0.0] * 64
-    mass[0], mass[2], mass[9] = 50, 30, 20
-    cuts = nj.fragment_bounds(mass, 4)
-    assert cuts == sorted(cuts) and len(cuts) == 3 and [c >> 58 for c in cuts] == [0, 0, 2]
-    assert nj.fragment_bounds([0.0] * 64, 4) == []
+def test_fragments_cover_all_hashes():
+    cuts = nj.fragment_bounds(nj.Settings(head=0.25, fragments=4))
+    assert cuts == [2**62, 2**63, 3 * 2**62]
+
+
+@pytest.mark.parametrize("head, common", [(0.001, (0, 3)), (0.9, (1, 0))])
+def test_any_order_gives_the_same_result(spark, head, common):
+    docs = corpus(7, 40)
+    assert run(spark, docs, head=head, fragments=2, sketch_bits=10, common=common) == brute(docs)
 
 
 def test_prefix_meets_every_link():
