@@ -270,6 +270,7 @@ def _only_shared(batches):
 
 
 def _segments(s: Settings):
+    """Each wanted node's set, cut into its fragments."""
     import pyarrow as pa
 
     def run(batches):
@@ -277,19 +278,16 @@ def _segments(s: Settings):
 
         cut = np.array(fragment_bounds(s), np.uint64)
         for part, texts in _chunks(batches, 1, s.chunk_chars):
-            want = part.column(0).to_pylist()
-            node, frag, keys = [], [], []
-            for w, own in zip(want, shingle_sets(texts, s.words), strict=True):
-                if not len(own) or _name(own)[0] != w:
-                    continue  # another text under the same id
-                for f, seg in enumerate(np.split(own, np.searchsorted(own, cut))):
-                    if len(seg):
-                        node.append(w)
-                        frag.append(f)
-                        keys.append(seg.view(np.int64))
+            node, pieces = [], []
+            for w, own in zip(part.column(0).to_pylist(), shingle_sets(texts, s.words), strict=True):
+                if len(own) and _name(own)[0] == w:  # else another text under the same id
+                    node.append(w)
+                    pieces += [x.view(np.int64) for x in np.split(own, np.searchsorted(own, cut))]
             if node:
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["node", "frag", "keys"])
+                ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+                inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces)))
+                outer = pa.array(np.arange(0, len(pieces) + 1, len(cut) + 1, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.ListArray.from_arrays(outer, inner)], ["node", "fragments"])
 
     return run
 
@@ -348,14 +346,15 @@ def cross_pairs(shared: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     return counted.where(enough(F.col("c"))).select("a", "b")
 
 
-def verify(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
-    """(src, dst) of the pairs that reach the threshold: overlaps of fragments, counted apart and summed."""
-    left = segments.withColumnsRenamed({"node": "a", "keys": "ka"})
-    right = segments.withColumnsRenamed({"node": "b", "keys": "kb"})
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", F.size(F.array_intersect("ka", "kb")).alias("part"))
-    total = partial.groupBy("a", "b").agg(F.sum("part").alias("o"))
-    total = total.join(sizes.select(F.col("node").alias("a"), F.col("n")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
-    return total.where(F.col("o") * s.denominator >= (F.col("n") + F.col("m") - F.col("o")) * s.numerator).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+def verify(pairs: DataFrame, segments: DataFrame, s: Settings) -> DataFrame:
+    """(src, dst) of the pairs that reach the threshold: each fragment's overlap is counted by itself, and the counts are summed."""
+    left = segments.select(F.col("node").alias("a"), F.col("fragments").alias("fa"))
+    right = segments.select(F.col("node").alias("b"), F.col("fragments").alias("fb"))
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda t, n: t + n)
+    sizes = lambda c: total(F.transform(c, F.size))
+    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
+    counted = pairs.join(left, "a").join(right, "b").select("a", "b", total(partial).alias("o"), (sizes("fa") + sizes("fb")).alias("both"))
+    return counted.where(F.col("o") * s.denominator >= (F.col("both") - F.col("o")) * s.numerator).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -391,8 +390,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
             return none
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("rep").alias("doc_id"))
         texts = rows.join(ends, "doc_id").select("node", "text")
-        segments = scratch.save(texts.mapInArrow(_segments(s), "node long, frag int, keys array<long>").dropDuplicates(["node", "frag"]))
-        found = scratch.save(verify(pairs, segments, nodes.select("node", "n"), s))
+        segments = scratch.save(texts.mapInArrow(_segments(s), "node long, fragments array<array<long>>").dropDuplicates(["node"]))
+        found = scratch.save(verify(pairs, segments, s))
         scratch.drop(segments)
         return found
 
