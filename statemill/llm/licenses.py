@@ -6,6 +6,11 @@ line, each paragraph (lines between blank ones) and the whole text, as sequences
 Two exact rules prune the comparisons. Size bounds: a unit of u bigrams can reach a coefficient t with a template of m
 only if t m / (2 - t) <= u <= (2 - t) m / t. Anchors: of each template a few of its longest words are such that a
 unit without any of them shares too few bigrams with it; a unit without any anchor is passed over.
+
+On request, windows are compared too, so that a notice inside a longer line or paragraph, or broken up by comment markers,
+is found: of the words of the whole text, every stretch of ``least`` to ``most`` neighbouring pairs for the template's own
+size bounds. A best stretch begins and ends with a bigram of the template, as it would be no worse without any other at
+its ends, and holds ``least`` of them, so only those stretches are counted.
 """
 
 from __future__ import annotations
@@ -89,9 +94,30 @@ def _dice(grams: Column, t: Template) -> Column:
     return F.coalesce(F.array_max(F.transform(fits, lambda g: F.lit(2.0) * F.size(F.array_intersect(g, mine)) / (F.size(g) + len(t.bigrams)))), F.lit(0.0))
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def _pairs(words: Column) -> Column:
+    return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+
+
+def _window_dice(pairs: Column, hits: Column, t: Template) -> Column:
+    """The best coefficient of all windows; ``hits`` are the places (from 0) and bigrams of ``pairs`` that any template holds."""
+    mine = F.array(*map(F.lit, t.bigrams))
+
+    def ending(own: Column, a: Column, rank: Column) -> Column:
+        near = F.filter(F.slice(own, rank + t.least, t.most - t.least + 1), lambda b: b["at"] - a["at"] < t.most)
+        windows = F.transform(near, lambda b: F.array_distinct(F.slice(pairs, a["at"] + 1, b["at"] - a["at"] + 1)))
+        return F.array_max(F.transform(windows, lambda g: F.lit(2.0) * F.size(F.array_intersect(g, mine)) / (F.size(g) + len(t.bigrams))))
+
+    # a one-element array binds the filtered hits, which would be made anew at every use
+    own = F.array(F.filter(hits, lambda h: F.array_contains(mine, h["gram"])))
+    best = F.element_at(F.transform(own, lambda o: F.array_max(F.transform(o, lambda a, rank: ending(o, a, rank)))), 1)
+    return F.coalesce(F.when(F.size(hits) >= t.least, best), F.lit(0.0))
+
+
+def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, threshold: float = 0.8, windows: bool = False) -> DataFrame:
     """Adds ``licenses``: an array of (license, dice), the best coefficient of each licence that reaches ``threshold``, by name.
 
+    With ``windows`` the windows of the whole text count as well as its lines, its paragraphs and itself.
+
     A null text has none, like one without two words in a row. Whole texts are scanned; repeated rows get equal
     answers; an input column named ``licenses`` is replaced and all others pass through.
     """
@@ -101,9 +127,24 @@ def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, thresh
     every = units(F.coalesce(F.col(text_col), F.lit("")))
     near = F.filter(every, lambda u: (F.size(u) > least) & F.arrays_overlap(u, anchors))
     grams = F.transform(near, lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(u) - 1), lambda i: F.concat_ws(" ", F.element_at(u, i), F.element_at(u, i + 1)))))
+    base = docs.drop("licenses")
+    if windows:
+        text = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
+        base = base.withColumn("__words", text)
+        base = base.withColumn("__pairs", F.when(F.arrays_overlap("__words", anchors), _pairs(F.col("__words"))).otherwise(F.array().cast("array<string>"))).drop("__words")
+        known = F.array(*map(F.lit, sorted({g for t in ready for g in t.bigrams})))
+        common = F.array_intersect("__pairs", known)
+        base = base.withColumn("__common", common)
+        places = F.transform("__pairs", lambda g, i: F.struct(i.alias("at"), g.alias("gram")))
+        none = F.array().cast("array<struct<at:int,gram:string>>")
+        base = base.withColumn("__hits", F.when(F.size("__common") >= least, F.filter(places, lambda h: F.array_contains(F.col("__common"), h["gram"]))).otherwise(none))
     found = []
     for name in sorted({t.name for t in ready}):
-        best = F.array_max(F.array(*(_dice(F.col("__grams"), t) for t in ready if t.name == name)))
+        scores = [_dice(F.col("__grams"), t) for t in ready if t.name == name]
+        if windows:
+            scores += [_window_dice(F.col("__pairs"), F.col("__hits"), t) for t in ready if t.name == name]
+        best = F.array_max(F.array(*scores))
         found.append(F.struct(F.lit(name).alias("license"), best.alias("dice")))
-    scored = docs.drop("licenses").withColumn("__grams", grams).withColumn("licenses", F.when(F.size("__grams") > 0, F.filter(F.array(*found), lambda x: x["dice"] >= threshold)).otherwise(F.array().cast("array<struct<license:string,dice:double>>")))
-    return scored.drop("__grams")
+    some = F.size("__grams") > 0 if not windows else (F.size("__grams") > 0) | (F.size("__hits") > 0)
+    scored = base.withColumn("__grams", grams).withColumn("licenses", F.when(some, F.filter(F.array(*found), lambda x: x["dice"] >= threshold)).otherwise(F.array().cast("array<struct<license:string,dice:double>>")))
+    return scored.drop("__grams", "__pairs", "__common", "__hits")

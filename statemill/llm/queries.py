@@ -63,12 +63,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model).drop("url")
 
 
-def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_license_scan(spark: SparkSession, sf_dir: str, windows: bool = False) -> DataFrame:
     from pyspark.sql import functions as F
 
     from .licenses import scan
 
-    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), windows=windows)
     best = F.coalesce(F.array_max(F.transform("licenses", lambda x: x["dice"])), F.lit(0.0))
     return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"), F.round(best, 6).alias("best_dice"))
 
@@ -99,6 +99,32 @@ SELECT d.doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses,
 """
 
 
+def op3_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan with windows inside longer units; op3_license_scan keeps to the units that its SQL compares."""
+    return op3_license_scan(spark, sf_dir, windows=True)
+
+
+def op3_windows_sql() -> str:
+    """Units as in op3_sql; windows between any two bigrams of a template that its size bounds allow, without anchors or ranks."""
+    from .licenses import TEMPLATES, prepare
+
+    head, tail = op3_sql().split(", found AS (", 1)
+    bounds = ", ".join(f"({k}, {t.least}, {t.most}, '{t.name}', [{', '.join(repr(g) for g in t.bigrams)}])" for k, t in enumerate(prepare(TEMPLATES, 0.8)))
+    return f"""{head}, bounds(k, least, most, license, tg) AS (VALUES {bounds}),
+whole AS (
+  SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p
+  FROM (SELECT doc_id, regexp_extract_all(t, '[a-z0-9]+(?:\\.[a-z0-9]+)*') AS w FROM low)
+), placed AS (SELECT doc_id, unnest(p) AS g, generate_subscripts(p, 1) AS pos FROM whole),
+marks AS (SELECT doc_id, k, pos FROM placed JOIN (SELECT k, unnest(tg) AS g FROM bounds) USING (g)),
+windows AS (
+  SELECT a.doc_id, b.license, b.tg, list_distinct(p[a.pos : z.pos]) AS g
+  FROM marks a JOIN marks z ON a.doc_id = z.doc_id AND a.k = z.k AND z.pos >= a.pos JOIN bounds b ON b.k = a.k AND z.pos - a.pos + 1 BETWEEN b.least AND b.most JOIN whole w ON w.doc_id = a.doc_id
+), every AS (
+  SELECT doc_id, license, dice FROM scored
+  UNION ALL SELECT doc_id, license, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) FROM windows
+), best_of AS (SELECT doc_id, license, max(dice) AS dice FROM every GROUP BY doc_id, license), found AS ({tail.replace("FROM scored", "FROM best_of")}"""
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngramjoin import jaccard_components
 
@@ -189,6 +215,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
+    "op3_license_windows": op3_license_windows,
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
@@ -197,4 +224,4 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": op3_sql(), "op4_ngram_join": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": op3_sql(), "op3_license_windows": op3_windows_sql(), "op4_ngram_join": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
