@@ -142,20 +142,22 @@ class Model:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str, s: Settings) -> DataFrame:
-    """At most ``per_language`` texts of each language, by a hash of the text; evenly from all partitions.
+    """At most ``per_language`` different texts of each language, by a hash of the text; evenly from all partitions.
 
-    The driver sees one count for each of the most frequent languages. A threshold on the hash thins each language to
+    The driver sees two counts for each of the most frequent languages. Copies of a text count once, or else they would
+    enter or miss the sample together and a language made of copies could be left out. A threshold on the hash thins each language to
     about twice its quota before the ranks are taken, so no window holds more than that.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.most_languages).collect()
+    places = rows.groupBy("lang", F.xxhash64("text").alias("place")).count()
+    counts = places.groupBy("lang").agg(F.sum("count").alias("rows"), F.count("*").alias("texts")).orderBy(F.desc("rows"), "lang").limit(s.most_languages).collect()
     if not counts:
         return rows.limit(0)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * s.per_language / r["count"] + 20.0 / r["count"])))])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * s.per_language / r["texts"] + 20.0 / r["texts"])))])
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     from pyspark.sql import Window
 
-    thin = rows.where(unit < share[F.col("lang")]).withColumn("place", F.xxhash64("text"))
+    thin = rows.where(unit < share[F.col("lang")]).distinct().withColumn("place", F.xxhash64("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
     return thin.withColumn("rank", rank).where(F.col("rank") <= s.per_language).select("text", "lang")
 

@@ -64,3 +64,14 @@ def test_held_out_accuracy(spark):
     out = li.predict(docs.where(li.held_out()), li.train(spark, docs.where(~li.held_out())))
     right = out.where("lang_pred = lang").count()
     assert right >= 0.97 * out.count()
+
+
+def test_copies_do_not_keep_a_language_out(spark):
+    few = li.Settings(per_language=5)
+    texts = spark.range(200).selectExpr("concat('kolo mita ', char(97 + id % 26), char(97 + id div 26)) AS text")
+    late = [r.text for r in texts.where("pmod(xxhash64(text), 1 << 30) >= (1 << 30) * 0.5").orderBy("text").limit(2).collect()]
+    early = [r.text for r in texts.orderBy("text").limit(40).collect()]
+    rows = [(t, "copies") for t in late * 500] + [(t, "mixed") for t in early] + [(early[0], "mixed")] * 1000
+    got = [(r.lang, r.text) for r in li.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", few).collect()]
+    assert sorted(t for lang, t in got if lang == "copies") == sorted(late)
+    assert len(got) == len(set(got)) and sum(lang == "mixed" for lang, _ in got) == 5
