@@ -2,7 +2,8 @@
 
 Base rules find assignments, access keys and hex strings. The method adds spans: long tokens of letters, digits and the
 base64 symbols are scored by two character Markov models, one of random strings and one of ordinary identifiers, and
-those whose log-likelihood ratio per transition is high enough are secrets too.
+those whose log-likelihood ratio per transition is high enough are secrets too. As a token may glue a secret to ordinary
+names by = / _ or -, stretches of its pieces between these signs are judged as if they stood alone.
 
 The models are trained from labelled samples, by counting pairs of neighbouring symbols in one aggregate. Symbols are the
 26 letters in lower case, one for capitals, one for digits and one for the rest, so that a model is a table of 29 x 29.
@@ -27,6 +28,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # AKIA[A-Z0-9]+ of 18 characters or more: a short
 HEX = r"[0-9a-f]{16,}"  # [0-9a-f]+ of 16 or more
 LEAST_VALUE = 12
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: A piece of a candidate; its group is the shortest stretch of whole pieces from there that is long enough.
+STRETCH = r"(?=([A-Za-z0-9+/_=-]{20,}?)(?![A-Za-z0-9+]))[A-Za-z0-9+]+"
 
 _SYMBOLS = 29  # a..z, then { for capitals, | for digits, } for the rest
 _FROM = UPPER + "0123456789" + "+/_=-."
@@ -108,18 +111,60 @@ def _spans(text: Column, pattern: str, keep) -> Column:
     return F.when(text.rlike(pattern), F.filter(F.aggregate(parts, begin, step, lambda s: s["out"]), keep)).otherwise(none)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _joined(spans: Column) -> Column:
+    """(start, end) with overlapping spans made one."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    begin = F.struct(none.alias("out"), F.lit(0).alias("start"), F.lit(-1).alias("end"))
+    closed = lambda s: F.when(s["end"] < 0, s["out"]).otherwise(F.array_append(s["out"], F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def step(s, x):
+        apart = x["start"] >= s["end"]
+        return F.struct(F.when(apart, closed(s)).otherwise(s["out"]).alias("out"), F.when(apart, x["start"]).otherwise(s["start"]).alias("start"), F.greatest(s["end"], x["end"]).alias("end"))
+
+    return F.aggregate(F.array_sort(spans), begin, step, closed)
+
+
+def _inside(run: Column, taken: Column, model: Model) -> Column:
+    """The secrets (start, end) in one candidate: what base spans leave of it, whole or else stretches of its pieces.
+
+    A stretch gives way to a later one inside it if what comes before that one is ordinary by itself.
+    """
+    looks = lambda t: t.rlike("[0-9]") & (likelihood_ratio(t, model) >= model.threshold)
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+
+    def blank(t, b):
+        a, z = F.greatest(b["start"] - run["start"], F.lit(0)), F.least(b["end"], run["end"]) - run["start"]
+        return F.overlay(t, F.repeat(F.lit(" "), z - a), a + 1, z - a)
+
+    def tight(found):
+        ordinary = lambda g, h: likelihood_ratio(F.substring(run["m"], g["start"] + 1, h["start"] - g["start"]), model) < model.threshold
+        return F.filter(found, lambda g: ~F.exists(found, lambda h: F.when((h["start"] > g["start"]) & (h["end"] <= g["end"]), ordinary(g, h)).otherwise(False)))
+
+    def judged(m):
+        whole = F.transform(_spans(m, CANDIDATE, lambda y: looks(y["m"])), lambda y: span(y["start"], y["end"]))
+        stretches = F.transform(_spans(m, STRETCH, lambda y: looks(y["v"])), lambda y: span(y["start"], y["start"] + F.length(y["v"])))
+        return _joined(F.concat(whole, _bound(stretches, tight)))
+
+    near = F.filter(taken, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.transform(_bound(F.aggregate(near, run["m"], blank), judged), lambda y: span(run["start"] + y["start"], run["start"] + y["end"]))
+
+
 def scan(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """Adds ``found``: an array of (kind, start, end) by start and then by the order of KINDS; a null text has none.
 
-    Base spans may overlap across kinds. Spans of the method keep clear of base spans, need a digit, and are judged on
-    the whole token. Texts are scanned whole. A column named ``found`` is replaced, all others pass through.
+    Base spans may overlap across kinds. Spans of the method keep clear of base spans, need a digit, and are whole
+    tokens or stretches of their pieces. Texts are scanned whole. A column named ``found`` is replaced, all others pass through.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.drop("found").withColumns({"__assign": _spans(text, ASSIGN, lambda x: F.length(x["v"]) >= LEAST_VALUE), "__access": _spans(text, ACCESS, lambda x: F.lit(True)), "__hex": _spans(text, HEX, lambda x: F.lit(True))})
     taken = F.concat("__assign", "__access", "__hex")
-    clear = lambda x: ~F.exists(taken, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    looks = lambda x: x["m"].rlike("[0-9]") & (likelihood_ratio(x["m"], model) >= model.threshold)
-    more = base.withColumn("__markov", F.filter(_spans(text, CANDIDATE, lambda x: looks(x)), clear))
+    runs = _spans(text, CANDIDATE, lambda x: x["m"].rlike("[0-9]"))
+    more = base.withColumn("__markov", F.flatten(F.transform(runs, lambda x: _inside(x, taken, model))))
 
     def tagged(kind: str) -> Column:
         return F.transform(f"__{kind}", lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end")))

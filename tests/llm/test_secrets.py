@@ -93,3 +93,23 @@ def test_query(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in base) for k in sc.KINDS[:3])
         assert set(text.split(",")) <= set(r.spans.split(","))
+
+
+def test_secrets_glued_to_ordinary_words(spark, model):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    before = [("aws_storage_connection_key=", 20), ("hooks/services/incoming/", 20), ("src/main/java/report/column/customer/order/", 40), ("src/main/java/report/column/customer/order/", 32)]
+    cases = []
+    for head, n in before:
+        keys = ["".join(rng.choices(letters, k=n)) for _ in range(60)]
+        cases += [(head, k) for k in keys if re.search("[0-9]", k)]
+    got = scan(spark, ["é see " + head + key + "/report end" for head, key in cases], model)
+    held = [any(k == "markov" and a <= 6 + len(h) and 6 + len(h) + len(key) <= b for k, a, b in got[i]) for i, (h, key) in enumerate(cases)]
+    assert sum(held) >= 0.95 * len(cases)
+
+
+def test_base_spans_are_cut_out_of_a_token(spark, model):
+    key = "Zq9xK2vB7nM4pL8sW3dF6gH1jT5"
+    text = f"see files/deadbeefdeadbeef/{key}/and/{key} end"
+    at = text.index(key)
+    assert scan(spark, [text], model)[0] == [("hex", 10, 26), ("markov", at - 1, at + 59)]
