@@ -1,34 +1,38 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Texts become sets of hashed word shingles; equal sets are one node, so copies cost nothing further. All shingles stand
-in one global order, and the order is cut into fragments; a pair's overlap is counted fragment by fragment and summed.
-
-* Common shingles, by a sketch of their counts over all documents, come last. Of the others a range of hashes, the head,
-  comes first, in the order of the exact number of nodes that have them, rare ones first; the rest follows by hash.
-* Two sets over the threshold share a shingle among the first ``n - ceil(t n) + 1`` of each. For nearly every text these
-  lie in the head and are its own alone, which settles that it has no partner. For the others partial overlaps are summed
-  per pair there, and pairs whose sum leaves the threshold out of reach go no further.
-* The pairs left are verified exactly: the sets of their nodes are cut at the fragments' bounds, each fragment's
-  overlap is counted by itself, and the counts are summed.
+in one global order, rare ones first. The order is cut into fragments, a set's part in a fragment is a segment, and the
+partial overlap of two sets is counted for each fragment by itself, as a row (pair, fragment); the rows are summed.
+
+* The order: the head (a range of hashes) by the exact number of nodes that have a shingle; the other shingles by hash;
+  and last those that a sketch of all counts finds hot. Texts of like size are a class with a head of its own: short
+  texts are head altogether. A text near a class's end stands in the next class as well, so that any two texts that can
+  reach the threshold meet in the larger one's class, and have the same order there.
+* Fragments: the head, even parts of the rest, and the hot shingles.
+* Two sets over the threshold share a shingle among the first ``n - ceil(t n) + 1`` of each. These lie in the head but
+  for chance, and for nearly every text they are its own alone, which settles that it has no partner. For the others
+  overlaps within these prefixes are summed per pair, and pairs that cannot reach the threshold go no further.
+* The pairs left are counted fragment by fragment: first in the head, where most of what is unlike shows; a pair goes on
+  to the other fragments only as long as the sizes of what is left of the two sets can still bring it to the threshold.
 
 Large groups of near copies must not become all their pairs. So first every node is held against a few pivots only (of
 each shared shingle the two nodes that have most of their first shingles in common with others: the ones in the middle
 of a group), which joins nearly every group. After that only pairs between different components are generated: what is
 left out lies inside a component already and cannot change the answer, so the components are those of all links.
 
-The sketch has a fixed size and decides about the order alone: whatever it says, the result is the same.
-
-Every shuffle is keyed by a shingle, a node or a pair; lists of a shingle's nodes are streamed, never gathered.
+Shuffles are keyed by a shingle, a node or a pair. A hot shingle is one with more than 2**-14 of all; where prefixes
+reach such shingles, their rows are dealt by node, and so are rows of nodes with very many pairs. A shingle's nodes are
+streamed, never gathered. The sketch decides about the order and the dealing alone: whatever it says, the result is the same.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, shuffle_partitions
+from .shared import Hot, Scratch, components, shuffle_partitions
 
 _MASK = 0xFFFFFFFFFFFFFFFF
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -39,11 +43,12 @@ class Settings:
     words: int = 5
     numerator: int = 80
     denominator: int = 100
-    head: float = 0.3  # share of the hashes whose shingles are counted
-    sketch_bits: int = 22  # 2**22 counters: 4 MB from each task, and a bit each for all executors
-    common: tuple[int, int] = (4, 64)  # a counter above 4 times the mean plus 64 is common
-    fragments: int = 4  # the head included
-    pivots: int = 2
+    #: Of each size class the least set size and the share of the hashes that are its head. The shares leave a prefix
+    #: outside the head with a chance of about one in a million.
+    classes: tuple[tuple[int, float], ...] = ((0, 1.0), (128, 0.41), (512, 0.3), (2048, 0.25))
+    sketch_bits: int = 18  # counters: 1 MB from each task, 2 MB to the driver, and a bit each for all executors
+    hot: tuple[float, int] = (2**-14, 64)  # a counter above this share of all shingles, and this many, is hot
+    fragments: int = 4  # of each class: the head, parts of the rest, the hot shingles; 3 at least
     chunk_chars: int = 1_000_000
 
 
@@ -132,37 +137,46 @@ def _chunks(batches, at: int, most: int):
             size += len(t or b"")
 
 
-def fragment_bounds(s: Settings) -> list[int]:
-    """The hashes that part the fragments: the end of the head, then even steps."""
-    head = int(s.head * 2**64)
-    return [head + (2**64 - head) * f // (s.fragments - 1) for f in range(s.fragments - 1)]
+def class_of(n: int, s: Settings) -> int:
+    return sum(n >= least for least, _ in s.classes) - 1
+
+
+def classes_of(n: int, s: Settings) -> list[int]:
+    """A set's own class, and the next one if partners that are larger can be there."""
+    own = class_of(n, s)
+    return [own, own + 1] if class_of(n * s.denominator // s.numerator, s) > own else [own]
+
 
+def fragment_bounds(c: int, s: Settings) -> list[int]:
+    """The hashes that part the fragments of a class but for the last: the end of the head, then even steps."""
+    head, parts = int(s.classes[c][1] * 2**64), s.fragments - 2
+    return [min(2**64 - 1, head + (2**64 - head) * f // parts) for f in range(parts)]
 
-_BLOCK = 1 << 14
+
+_BLOCK = 1 << 12
 
 
 def _first_pass(s: Settings):
-    """Each row's set size and name, and at the end of a task its counts of shingles (saturating bytes, by hash)."""
+    """Each row's set size and name, and at the end of a task its counts of shingles by hash."""
     import pyarrow as pa
 
-    names = ["doc_id", "n", "node", "block", "counts"]
+    names = ["doc_id", "n", "h", "l", "block", "counts"]
 
     def run(batches):
         import numpy as np
 
         size = 1 << s.sketch_bits
-        seen = np.zeros(size, np.uint32)
-        any_ = False
+        seen = np.zeros(size, np.int64)
         for part, texts in _chunks(batches, 1, s.chunk_chars):
-            any_ = True
             sets = shingle_sets(texts, s.words)
-            seen += np.bincount(_counter(np.concatenate(sets), s), minlength=size).astype(np.uint32)
+            seen += np.bincount(_counter(np.concatenate(sets), s), minlength=size)
             none = pa.nulls(len(texts))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_name(x)[0] for x in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
-        if any_:
-            low = np.minimum(seen, 255).astype(np.uint8).reshape(-1, min(_BLOCK, size))
+            halves = np.array([_name(x) for x in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+        if seen.any():
+            low = np.minimum(seen, 2**32 - 1).astype("<u4").reshape(-1, min(_BLOCK, size))
             none = pa.nulls(len(low), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(low)), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(range(len(low)), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], names)
 
     return run
 
@@ -182,22 +196,22 @@ def _add_blocks(batches):
     sums: dict = {}
     for batch in batches:
         for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            more = np.frombuffer(counts, np.uint8)
-            sums[block] = sums[block] + more if block in sums else more.astype(np.uint32)
+            more = np.frombuffer(counts, "<u4")
+            sums[block] = sums[block] + more if block in sums else more.astype(np.int64)
     for block, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["block", "counts"])
 
 
-def common_counters(blocks: DataFrame, s: Settings) -> bytes:
-    """A bit for each counter: far above the mean. The driver gets 4 bytes for each counter."""
+def hot_counters(blocks: DataFrame, s: Settings) -> bytes:
+    """A bit for each counter: whether it holds more than its share of all shingles. The driver gets 8 bytes for each."""
     import numpy as np
 
     size = 1 << s.sketch_bits
     counts = np.zeros((size // min(_BLOCK, size), min(_BLOCK, size)), np.int64)
-    for r in blocks.repartition(shuffle_partitions(blocks.sparkSession), "block").mapInArrow(_add_blocks, "block int, counts binary").toLocalIterator():
-        counts[r["block"]] = np.frombuffer(r["counts"], "<u4")
-    factor, more = s.common
-    return np.packbits(counts.ravel() > factor * counts.mean() + more).tobytes()
+    for r in blocks.repartition(min(len(counts), shuffle_partitions(blocks.sparkSession)), "block").mapInArrow(_add_blocks, "block int, counts binary").toLocalIterator():
+        counts[r["block"]] = np.frombuffer(r["counts"], "<i8")
+    share, least = s.hot
+    return np.packbits(counts.ravel() > max(least, share * counts.sum())).tobytes()
 
 
 def needed_of_one(n: int, s: Settings) -> int:
@@ -205,44 +219,57 @@ def needed_of_one(n: int, s: Settings) -> int:
     return -(-s.numerator * n // s.denominator)
 
 
-def ordered(own, common, s: Settings):
-    """(a set in the global order as far as the hashes decide it, the number of its shingles whose counts decide)."""
+def ordered(own, c: int, hot, s: Settings):
+    """A set in its class's order as far as the hashes decide it: (head, the rest, hot shingles)."""
     import numpy as np
 
-    head = np.uint64(fragment_bounds(s)[0])
-    last = common[_counter(own, s)].astype(bool)
+    last = hot[_counter(own, s)].astype(bool)
     plain = own[~last]
-    return np.concatenate([plain, own[last]]), int(np.searchsorted(plain, head))
+    k = len(plain) if s.classes[c][1] >= 1 else int(np.searchsorted(plain, np.uint64(fragment_bounds(c, s)[0])))
+    return plain[:k], plain[k:], own[last]
+
+
+_POSTING = ["key", "h", "l", "n", "k", "c", "salt"]
+_POSTING_SCHEMA = "key long, h long, l long, n int, k int, c int, salt long"
+_POSTING_TYPES = ("i8", "i8", "i8", "i4", "i4", "i4", "i8")
 
 
-def _postings(common_var, s: Settings):
-    """Of each set all shingles of the head, and those behind it that the prefix needs where the head holds too few."""
+def _postings(hot_var, s: Settings):
+    """Of each set all shingles of the head, and those behind it that the prefix needs where the head holds too few.
+
+    Classes have keys of their own. ``salt`` is 0 but for hot shingles, whose rows are dealt by it.
+    """
     import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
-        common = np.unpackbits(np.frombuffer(common_var.value, np.uint8))
+        hot = np.unpackbits(np.frombuffer(hot_var.value, np.uint8))
         for _, texts in _chunks(batches, 0, s.chunk_chars):
-            keys, nodes, sizes, heads, reps = [], [], [], [], []
+            keys, salts, rows, reps, seen = [], [], [], [], set()
             for own in shingle_sets(texts, s.words):
-                if n := len(own):
-                    row, k = ordered(own, common, s)
-                    most = max(n - needed_of_one(n, s) + 1, k)
-                    keys.append(row[:most])
-                    nodes.append(_name(own)[0])
-                    sizes.append(n)
-                    heads.append(k)
-                    reps.append(most)
+                n = len(own)
+                if not n or (name := _name(own)) in seen:
+                    continue
+                seen.add(name)
+                for c in classes_of(n, s):
+                    head, rest, last = ordered(own, c, hot, s)
+                    most = max(n - needed_of_one(n, s) + 1, len(head))
+                    tail = last[: max(0, most - len(head) - len(rest))]
+                    row = np.concatenate([head, rest[: most - len(head)], tail])
+                    keys.append(_mix(row + np.uint64(c)) if c else row)
+                    salts += [np.zeros(len(row) - len(tail), np.int64), np.full(len(tail), name[0] | 1)]
+                    rows.append((*name, n, len(head), c))
+                    reps.append(len(row))
             if keys:
-                spread = lambda x, kind: pa.array(np.repeat(np.array(x, kind), reps))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), spread(nodes, np.int64), spread(sizes, np.int32), spread(heads, np.int32)], ["key", "node", "n", "k"])
+                spread = [np.repeat(np.array(x, kind), reps) for x, kind in zip(zip(*rows, strict=True), _POSTING_TYPES[1:6], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys).view(np.int64), *spread, np.concatenate(salts))], _POSTING)
 
     return run
 
 
 def _only_shared(batches):
-    """Rows sorted by key and node: drops repeats, and keys with a single node."""
+    """Rows sorted by key and name: drops repeats, and keys with a single node (hot ones never have one only)."""
     import numpy as np
     import pyarrow as pa
 
@@ -254,40 +281,44 @@ def _only_shared(batches):
             cols = [np.concatenate([[h], c]) for h, c in zip(held, cols, strict=True)]
         if not len(cols[0]):
             continue
-        key, node = cols[0], cols[1]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        same = cols[0][1:] == cols[0][:-1]
+        new = np.concatenate([[True], ~same | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])
         cols = [c[new] for c in cols]
-        key = cols[0]
-        same = key[1:] == key[:-1]
-        stay = np.concatenate([[shared], same]) | np.concatenate([same, [False]])
-        if len(key) > 1:
+        same = cols[0][1:] == cols[0][:-1]
+        stay = np.concatenate([[shared], same]) | np.concatenate([same, [False]]) | (cols[-1] != 0)
+        if len(same):
             shared = bool(same[-1])
         held = [c[-1] for c in cols]
         if stay[:-1].any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][stay[:-1]].astype(k)) for c, k in zip(cols, ("i8", "i8", "i4", "i4"), strict=True)], ["key", "node", "n", "k"])
-    if held is not None and shared:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([h], k)) for h, k in zip(held, ("i8", "i8", "i4", "i4"), strict=True)], ["key", "node", "n", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][stay[:-1]].astype(k)) for c, k in zip(cols, _POSTING_TYPES, strict=True)], _POSTING)
+    if held is not None and (shared or held[-1] != 0):
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([h], k)) for h, k in zip(held, _POSTING_TYPES, strict=True)], _POSTING)
 
 
-def _segments(s: Settings):
-    """Each wanted node's set, cut into its fragments."""
+def _segments(hot_var, s: Settings):
+    """(node, class, fragment, shingles): each wanted node's set, cut at the fragments' bounds of each wanted class."""
     import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
-        cut = np.array(fragment_bounds(s), np.uint64)
-        for part, texts in _chunks(batches, 1, s.chunk_chars):
-            node, pieces = [], []
-            for w, own in zip(part.column(0).to_pylist(), shingle_sets(texts, s.words), strict=True):
-                if len(own) and _name(own)[0] == w:  # else another text under the same id
-                    node.append(w)
-                    pieces += [x.view(np.int64) for x in np.split(own, np.searchsorted(own, cut))]
-            if node:
+        hot = np.unpackbits(np.frombuffer(hot_var.value, np.uint8))
+        for part, texts in _chunks(batches, 4, s.chunk_chars):
+            at, pieces = [], []
+            wanted = zip(*(part.column(k).to_pylist() for k in range(4)), shingle_sets(texts, s.words), strict=True)
+            for node, classes, h, l, own in wanted:
+                if not len(own) or _name(own) != (h, l):  # another text under the same id
+                    continue
+                for c in classes:
+                    head, rest, last = ordered(own, c, hot, s)
+                    cut = np.searchsorted(rest, np.array(fragment_bounds(c, s)[1:], np.uint64))
+                    for f, x in enumerate([head, *np.split(rest, cut), last]):
+                        at.append((node, c, f))
+                        pieces.append(x.view(np.int64))
+            if at:
                 ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
-                inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces)))
-                outer = pa.array(np.arange(0, len(pieces) + 1, len(cut) + 1, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.ListArray.from_arrays(outer, inner)], ["node", "fragments"])
+                node, c, f = (np.array(x) for x in zip(*at, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(c.astype(np.int32)), pa.array(f.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces)))], ["node", "c", "fragment", "keys"])
 
     return run
 
@@ -295,69 +326,102 @@ def _segments(s: Settings):
 # ---- pairs ---------------------------------------------------------------------------------------------------------
 
 
-def _fits(a, b, s: Settings):
+def _fits(a: Column, b: Column, s: Settings) -> Column:
     """The sizes alone allow the threshold."""
     return F.least(a, b) * s.denominator >= F.greatest(a, b) * s.numerator
 
 
-def _prefix_size(n, s: Settings):
+def _reaches(overlap: Column, n: Column, m: Column, s: Settings) -> Column:
+    """Sets of n and m with such an overlap are over the threshold."""
+    return overlap.cast("long") * (s.numerator + s.denominator) >= (n + m).cast("long") * s.numerator
+
+
+def _prefix_size(n: Column, s: Settings) -> Column:
     return n - F.ceil(n * s.numerator / s.denominator) + 1
 
 
-def prefixes(shared: DataFrame, s: Settings) -> DataFrame:
-    """(key, node, n, room, common): of the shared shingles those in a node's prefix, their number at most, and which share of the prefix that is.
+def _class(n: Column, s: Settings) -> Column:
+    return sum(((n >= least).cast("int") for least, _ in s.classes[1:]), F.lit(0))
+
+
+def prefixes(held: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """(key, node, n, room, common, home): of the shared shingles those in a node's prefix, their number at most, which
+    share of the prefix that is, and whether this is the node's own class.
 
     Shingles that a node has alone come first in the order; how many of the head's there are follows from their number
     and that of the shared ones, so they need no rows. A node whose prefix is its own alone disappears.
     """
-    counted = shared.join(shared.groupBy("key").agg(F.count("*").alias("df")), "key")
-    own = shared.groupBy("node").agg(F.count("*").alias("held"), F.first("n").alias("n"), F.first("k").alias("k"))
+    counted = held.join(held.groupBy("key").agg(F.count("*").alias("df")), "key")
+    own = held.groupBy("h", "l", "c").agg(F.count("*").alias("held"), F.first("n").alias("n"), F.first("k").alias("k"))
     size = _prefix_size(F.col("n"), s)
     room = F.when(F.col("k") >= size, size - (F.col("k") - F.col("held"))).otherwise(F.col("held"))
-    roomy = own.select("node", room.alias("room"), size.alias("size")).where("room > 0")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
-    placed = counted.join(roomy, "node").withColumn("rank", rank).where("rank <= room")
-    return placed.select("key", "node", "n", F.col("room").cast("int").alias("room"), (F.col("room") / F.col("size")).alias("common"))
+    roomy = own.select("h", "l", "c", room.alias("room"), size.alias("size")).where("room > 0").join(nodes.select("h", "l", "node"), ["h", "l"])
+    rank = F.row_number().over(Window.partitionBy("h", "l", "c").orderBy("df", "key"))
+    placed = counted.join(roomy, ["h", "l", "c"]).withColumn("rank", rank).where("rank <= room")
+    return placed.select("key", "node", "n", F.col("room").cast("int").alias("room"), (F.col("room") / F.col("size")).alias("common"), (F.col("c") == _class(F.col("n"), s)).alias("home"))
+
+
+_PAIR = ("a", "b", "n", "m")
 
 
 def star_pairs(shared: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): each node with the pivots that it shares most of its first shingles with; two for each node."""
-    order = F.struct((-F.col("common")).alias("o"), F.xxhash64("node").alias("h"), F.col("node"), F.col("n"))
+    """(a, b, n, m): each node with the pivots that it shares most of its first shingles with; two for each node."""
+    order = F.struct((-F.col("common")).alias("o"), F.xxhash64("node").alias("x"), F.col("node"), F.col("n"), F.col("home"))
     top = shared.groupBy("key").agg(F.min(order).alias("p0"))
     second = shared.join(top, "key").where(F.col("node") != F.col("p0.node")).groupBy("key").agg(F.min(order).alias("p0"))
-    pivots = top.unionByName(second).select("key", F.col("p0.node").alias("pivot"), F.col("p0.n").alias("m"))
-    pairs = shared.join(pivots, "key").where((F.col("node") != F.col("pivot")) & _fits(F.col("n"), F.col("m"), s))
-    counted = pairs.groupBy("node", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") * 4 >= _prefix_size(F.col("n"), s))
-    top = counted.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), F.col("pivot")))), 1, 2).alias("top"))
-    return top.select("node", F.explode("top.pivot").alias("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    pivots = top.unionByName(second).select("key", F.col("p0.node").alias("pivot"), F.col("p0.n").alias("m"), F.col("p0.home").alias("base"))
+    pairs = shared.join(pivots, "key").where((F.col("node") != F.col("pivot")) & (F.col("home") | F.col("base")) & _fits(F.col("n"), F.col("m"), s))
+    counted = pairs.groupBy("node", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(F.col("c") * 4 >= _prefix_size(F.col("n"), s))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "pivot"))
+    chosen = counted.withColumn("rank", best).where("rank <= 2")
+    low = F.col("node") < F.col("pivot")
+    either = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+    return chosen.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), either("n", "m").alias("n"), either("m", "n").alias("m")).distinct()
 
 
 def cross_pairs(shared: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): all pairs of different components that their partial overlap leaves within reach of the threshold."""
+    """(a, b, n, m): all pairs of different components that the overlap of their prefixes leaves within reach of the threshold."""
     named = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rows = named.join(mixed, "key")
-    other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("room").alias("space"), F.col("component").alias("other"))
+    rows = named.join(mixed, "key").drop("common")
+    other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("room").alias("space"), F.col("component").alias("other"), F.col("home").alias("base"))
     # whichever prefix ends first in the global order, all that the two share in it is counted
     behind = F.greatest(F.col("n") - _prefix_size(F.col("n"), s), F.col("m") - _prefix_size(F.col("m"), s))
-    enough = lambda c: (c + behind) * (s.numerator + s.denominator) >= (F.col("n") + F.col("m")) * s.numerator
-    pairs = rows.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _fits(F.col("n"), F.col("m"), s) & enough(F.least("room", "space")))
+    enough = lambda c: _reaches(c + behind, F.col("n"), F.col("m"), s)
+    pairs = rows.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & (F.col("home") | F.col("base")) & _fits(F.col("n"), F.col("m"), s) & enough(F.least("room", "space")))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return counted.where(enough(F.col("c"))).select("a", "b")
+    return counted.where(enough(F.col("c"))).select(*_PAIR)
 
 
-def verify(pairs: DataFrame, segments: DataFrame, s: Settings) -> DataFrame:
-    """(src, dst) of the pairs that reach the threshold: each fragment's overlap is counted by itself, and the counts are summed."""
-    left = segments.select(F.col("node").alias("a"), F.col("fragments").alias("fa"))
-    right = segments.select(F.col("node").alias("b"), F.col("fragments").alias("fb"))
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda t, n: t + n)
-    sizes = lambda c: total(F.transform(c, F.size))
-    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", total(partial).alias("o"), (sizes("fa") + sizes("fb")).alias("both"))
-    return counted.where(F.col("o") * s.denominator >= (F.col("both") - F.col("o")) * s.numerator).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+def partial_overlaps(pairs: DataFrame, segments: DataFrame, hubs: tuple[Hot, Hot]) -> DataFrame:
+    """Rows (a, b, n, m, c, fragment) with o, the overlap in that fragment, and x and y, the sizes of the two segments there."""
+    side = lambda name, keys: segments.select(F.col("node").alias(name), "c", "fragment", F.col("keys").alias(keys))
+    left = hubs[0].join(pairs, side("a", "ka"), ["a", "c", "fragment"], "a", deal="b")
+    both = hubs[1].join(left, side("b", "kb"), ["b", "c", "fragment"], "b", deal="a")
+    return both.select(*_PAIR, "c", "fragment", F.size(F.array_intersect("ka", "kb")).alias("o"), F.size("ka").alias("x"), F.size("kb").alias("y"))
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+def verify(pairs: DataFrame, segments: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
+    """(src, dst) of the pairs that reach the threshold: partial overlaps of the fragments, summed per pair.
+
+    A pair goes on from the head to the other fragments only if it can still reach the threshold, and has anything there.
+    """
+    hubs = Hot(pairs, "a"), Hot(pairs, "b")
+    n, m = F.col("n"), F.col("m")
+    first = pairs.withColumns({"c": F.greatest(_class(n, s), _class(m, s)), "fragment": F.lit(0)})
+    head = scratch.save(partial_overlaps(first, segments, hubs).where(_reaches(F.col("o") + F.least(n - F.col("x"), m - F.col("y")), n, m, s)))
+    later = [f for f in range(1, s.fragments)]
+    whole = F.lit(False)  # classes that are head altogether have nothing between the head and the hot shingles
+    for c, (_, share) in enumerate(s.classes):
+        whole = whole | (F.col("c") == c) if share >= 1 else whole
+    numbers = F.when(whole, F.array(F.lit(later[-1]))).otherwise(F.array(*map(F.lit, later)))
+    going = head.where((n > F.col("x")) & (m > F.col("y"))).select(*_PAIR, "c", F.explode(numbers).alias("fragment"))
+    rows = head.unionByName(partial_overlaps(going, segments, hubs))
+    summed = rows.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return summed.where(_reaches(F.col("o"), n, m, s)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles (long) and component_id.
 
     Words are runs of anything but the six white-space characters of ASCII, with A-Z lower-cased. A text of fewer words
@@ -366,45 +430,47 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     Rows with a null id link with nothing and keep a null component. Rows that repeat an id with the same text are one
     document; with another text, the id stands in both texts' components. Other columns of ``docs`` don't matter.
 
-    Sets are named by 64 bits of a hash and shingles by 64 bits, so results are exact but for a chance of about
-    (number of different texts)**2 / 2**65.
+    Sets are named by 128 bits, and shingles by 64 bits of a hash. Two different shingles that share a hash can only make
+    two sets look more alike by one shingle, and only if both sets hold one of the two.
     """
     s = settings
-    scratch = Scratch(spark, "ngramjoin")
+    scratch = scratch or Scratch(spark, "ngramjoin")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = scratch.save(rows.mapInArrow(_first_pass(s), "doc_id long, n long, node long, block int, counts binary"))
-    names = first.where(F.col("block").isNull()).select("doc_id", "n", "node")
-    common_var = spark.sparkContext.broadcast(common_counters(first.where(F.col("block").isNotNull()).select("block", "counts"), s))
-    n_parts = shuffle_partitions(spark)
+    first = scratch.save(rows.mapInArrow(_first_pass(s), "doc_id long, n long, h long, l long, block int, counts binary"))
+    names = first.where(F.col("block").isNull()).select("doc_id", "n", "h", "l")
+    hot_var = spark.sparkContext.broadcast(hot_counters(first.where(F.col("block").isNotNull()).select("block", "counts"), s))
     known = names.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    nodes = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
-    postings = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(common_var, s), "key long, node long, n int, k int")
-    held = scratch.save(postings.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_only_shared, "key long, node long, n int, k int"))
-    shared = scratch.save(prefixes(held, s))
+    # numbers for the names: they are fixed once the table is written
+    nodes = scratch.save(known.groupBy("h", "l").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    postings = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(hot_var, s), _POSTING_SCHEMA)
+    held = scratch.save(postings.repartition(shuffle_partitions(spark), "key", "salt").sortWithinPartitions("key", "h", "l").mapInArrow(_only_shared, _POSTING_SCHEMA).drop("salt"))
+    shared = scratch.save(prefixes(held, nodes, s))
     scratch.drop(held)
-    none = spark.createDataFrame([], "src long, dst long")
 
-    def links_of(pairs: DataFrame) -> DataFrame:
+    def links_of(pairs: DataFrame) -> DataFrame | None:
         pairs = scratch.save(pairs)
         if pairs.isEmpty():
-            return none
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("rep").alias("doc_id"))
-        texts = rows.join(ends, "doc_id").select("node", "text")
-        segments = scratch.save(texts.mapInArrow(_segments(s), "node long, fragments array<array<long>>").dropDuplicates(["node"]))
-        found = scratch.save(verify(pairs, segments, s))
+            return None
+        c = F.greatest(_class(F.col("n"), s), _class(F.col("m"), s)).alias("c")
+        ends = pairs.select(F.col("a").alias("node"), c).union(pairs.select(F.col("b").alias("node"), c)).groupBy("node").agg(F.collect_set("c").alias("classes"))
+        wanted = ends.join(nodes, "node").select(F.col("rep").alias("doc_id"), "node", "classes", "h", "l")
+        texts = rows.join(wanted, "doc_id").select("node", "classes", "h", "l", "text")
+        segments = scratch.save(texts.mapInArrow(_segments(hot_var, s), "node long, c int, fragment int, keys array<long>").dropDuplicates(["node", "c", "fragment"]))
+        found = scratch.save(verify(pairs, segments, scratch, s))
         scratch.drop(segments)
         return found
 
     near = links_of(star_pairs(shared, s))
-    labels = components(spark, near, scratch)
+    none = spark.createDataFrame([], "node long, component long")
+    labels = components(spark, near, scratch) if near is not None else none
     more = links_of(cross_pairs(shared, labels, s))
     scratch.drop(shared)
-    links = near.union(more)
-    if not more.isEmpty():
-        labels = components(spark, links, scratch)
-    lows = labels.join(nodes, "node")
-    low = lows.join(lows.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
-    named = nodes.join(low, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    own = names.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
-    out = own.join(named, "node", "left")
+    if more is not None and not more.isEmpty():
+        labels = components(spark, more if near is None else near.union(more), scratch)
+    lows = scratch.save(labels.join(nodes, "node").select("component", "h", "l", "rep"))
+    low = Hot(lows, "component").join(lows, lows.groupBy("component").agg(F.min("rep").alias("component_id")), ["component"], "component", deal="h").select("h", "l", "component_id")
+    named = nodes.join(low, ["h", "l"], "left").select("h", "l", F.coalesce("component_id", "rep").alias("component_id"))
+    usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    own = names.withColumns({"h": F.when(usable, F.col("h")), "l": F.when(usable, F.col("l"))})
+    out = Hot(known, "h").join(own, named, ["h", "l"], "h", "left", deal="doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import math
 import tempfile
 import uuid
 
@@ -16,26 +18,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset (tests on one machine) a temporary folder takes its place.
+    Where it is unset, a session that runs on this machine alone gets a temporary folder; on a cluster that is an error,
+    since executors would not see the driver's folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="statemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="statemill-"))
+    return _LOCAL[0]
 
 
 class Scratch:
-    """Intermediate tables in the shared folder: they cut lineage and outlive lost executors."""
+    """Intermediate tables in the shared folder: they cut lineage and outlive lost executors.
+
+    Results of an operator read its tables, so they stay until ``close`` (or the end of a ``with`` block) of the Scratch
+    that the caller hands in; those that operators make for themselves are closed when the driver's process ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: dict[int, str] = {}
+        atexit.register(self.close)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self._n}"
@@ -49,9 +69,20 @@ class Scratch:
         """Deletes a table that nothing will read again."""
         path = self._paths.pop(id(df), None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
+
+    def close(self) -> None:
+        """Deletes all tables; afterwards nothing that reads them can run."""
+        atexit.unregister(self.close)
+        try:
+            self._delete(self.base)
+        except Exception:  # the session has ended already
+            pass
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -62,25 +93,57 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Hot:
+    """The frequent values of a column: those with more rows than two usual partitions, so fewer than there are partitions.
+
+    ``join`` deals the rows of such a value to several tasks, each with a copy of the other side's row.
+    """
+
+    def __init__(self, df: DataFrame, column: str):
+        self.spark = df.sparkSession
+        n = shuffle_partitions(self.spark)
+        counts = df.groupBy(F.col(column).alias("__hot")).agg(F.count("*").alias("__n"))
+        most = max(200, 2 * math.ceil(df.count() / n))
+        found = counts.where(F.col("__hot").isNotNull() & (F.col("__n") > most)).select("__hot", F.ceil(F.col("__n") / most).cast("int").alias("__salts"))
+        self.rows = [(r[0], r[1]) for r in found.collect()]
+        self.schema = found.schema
+
+    def _salted(self, df: DataFrame, column: str, salt) -> DataFrame:
+        hot = F.broadcast(self.spark.createDataFrame(self.rows, self.schema))
+        return df.join(hot, df[column].eqNullSafe(hot["__hot"]), "left").withColumn("__salt", salt(F.coalesce("__salts", F.lit(1)))).drop("__hot", "__salts")
+
+    def join(self, many: DataFrame, one: DataFrame, on: list[str], column: str, how: str = "inner", deal: str | None = None) -> DataFrame:
+        """``many`` with its match in ``one`` (unique by ``on``, which holds ``column``); ``deal``: a column of ``many`` that parts a hot value's rows."""
+        if not self.rows:
+            return many.join(one, on, how)
+        dealt = self._salted(many, column, lambda n: F.pmod(F.xxhash64(*([deal] if deal else many.columns)), n).cast("int"))
+        copied = self._salted(one, column, lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+        return dealt.join(copied, [*on, "__salt"], how).drop("__salt")
+
+
 def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected links (src, dst): rows (node, component), the smallest node reachable.
 
     Rounds of "take the smallest label among the neighbours, then the label of that label" until nothing changes.
-    Every aggregate is a minimum, which is combined before the shuffle, so a hub of any degree stays cheap; each
-    round's labels are a table in the shared folder. Self links keep a node without partners in the result; null
-    ends are dropped. The driver learns only whether anything changed.
+    Aggregates are minima, which are combined before the shuffle; nodes with very many links, and labels of very many
+    nodes, are dealt to several tasks (``Hot``). Labels that point at themselves, as in components that are done, are not
+    looked up. Each round's labels are a table in the shared folder. Self links keep a node without partners in the
+    result; null ends are dropped. The driver learns whether anything changed, and which nodes are hot.
     """
     ends = links.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst")
     edges = scratch.save(ends.union(ends.select("dst", "src")).distinct())
-    labels = scratch.save(edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("component")))
+    labels = scratch.save(edges.groupBy(F.col("src").alias("node")).agg(F.least("src", F.min("dst")).alias("component")))
+    hubs = Hot(edges, "dst")
     while True:
-        near = edges.join(labels.withColumnsRenamed({"node": "dst"}), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
+        near = hubs.join(edges, labels.withColumnsRenamed({"node": "dst"}), ["dst"], "dst", deal="src").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
         step = scratch.save(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("mid")))
-        jump = step.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        moved = scratch.save(step.join(jump, "mid").select("node", F.least("mid", "far").alias("component"), (F.least("mid", "far") != F.col("old")).alias("moved")))
+        if step.where("mid < old").isEmpty():
+            scratch.drop(edges)
+            scratch.drop(labels)
+            return step.select("node", F.col("mid").alias("component"))
+        jump = step.where("mid < node").select(F.col("node").alias("mid"), F.col("mid").alias("far"))
+        moved = Hot(step, "mid").join(step, jump, ["mid"], "mid", "left", deal="node")
+        after = scratch.save(moved.select("node", F.coalesce("far", "mid").alias("component")))
         scratch.drop(step)
         scratch.drop(labels)
-        labels = moved
-        if moved.where("moved").isEmpty():
-            scratch.drop(edges)
-            return moved.select("node", "component")
+        labels = after

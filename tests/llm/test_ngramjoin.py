@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statemill.llm import ngramjoin as nj
 
@@ -75,33 +76,68 @@ def test_large_group_of_near_copies_makes_few_pairs(spark):
     s = nj.Settings()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     none = spark.sparkContext.broadcast(bytes((1 << s.sketch_bits) // 8))
-    postings = df.select("text").mapInArrow(nj._postings(none, s), "key long, node long, n int, k int")
-    held = postings.repartition(3, "key").sortWithinPartitions("key", "node").mapInArrow(nj._only_shared, "key long, node long, n int, k int")
-    shared = nj.prefixes(held, s).cache()
-    assert nj.star_pairs(shared, s).count() <= 2 * len(docs)
+    held = df.select("text").mapInArrow(nj._postings(none, s), nj._POSTING_SCHEMA).repartition(3, "key").sortWithinPartitions("key", "h", "l").mapInArrow(nj._only_shared, nj._POSTING_SCHEMA).drop("salt").cache()
+    nodes = held.select("h", "l").distinct().withColumn("node", F.xxhash64("h"))
+    assert nj.star_pairs(nj.prefixes(held, nodes, s), s).count() <= 2 * len(docs)
     assert run(spark, docs) == brute(docs)
 
 
 def test_shared_rows_survive_batch_bounds():
     import pyarrow as pa
 
-    rows = sorted((k, n, 3, 9) for k, count in ((1, 1), (2, 3), (3, 1), (4, 2), (5, 1)) for n in range(count) for _ in range(1 + (n == 1)))
-    want = sorted({r for r in rows if r[0] in (2, 4)})
+    rows = sorted((k, n // 2, n, 3, 9, 0, 7 if k == 5 else 0) for k, count in ((1, 1), (2, 3), (3, 1), (4, 2), (5, 1)) for n in range(count) for _ in range(1 + (n == 1)))
+    want = sorted({r for r in rows if r[0] in (2, 4, 5)})
     for cuts in combinations(range(len(rows) + 1), 2):
         parts = [rows[: cuts[0]], rows[cuts[0] : cuts[1]], rows[cuts[1] :]]
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in p], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "node", "n", "k"]) for p in parts]
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array([r[i] for r in p], t)) for i, t in enumerate(nj._POSTING_TYPES)], nj._POSTING) for p in parts]
         assert sorted(tuple(r.values()) for b in nj._only_shared(iter(batches)) for r in b.to_pylist()) == want
 
 
-def test_fragments_cover_all_hashes():
-    cuts = nj.fragment_bounds(nj.Settings(head=0.25, fragments=4))
-    assert cuts == [2**62, 2**63, 3 * 2**62]
+def test_fragments_cover_the_order():
+    s = nj.Settings(classes=((0, 1.0), (50, 0.25)), fragments=5)
+    assert nj.fragment_bounds(1, s) == [2**62, 2**63, 3 * 2**62]
+    hot = np.zeros(1 << s.sketch_bits, np.uint8)
+    hot[5] = 1
+    own = np.sort(np.concatenate([np.random.default_rng(3).integers(0, 2**64, 400, np.uint64), np.array([5, 2**63 + 5], np.uint64)]))
+    for c in (0, 1):
+        head, rest, last = nj.ordered(own, c, hot, s)
+        assert sorted([*head, *rest, *last]) == own.tolist() and {5, 2**63 + 5} <= set(last.tolist())
+        assert all(x < 2**62 for x in head.tolist()) == (c == 1) and (c == 1) == bool(len(rest))
 
 
-@pytest.mark.parametrize("head, common", [(0.001, (0, 3)), (0.9, (1, 0))])
-def test_any_order_gives_the_same_result(spark, head, common):
+def test_sizes_that_can_link_share_a_class():
+    s = nj.Settings()
+    for n in range(1, 3000):
+        for m in (n, n * 100 // 80):
+            c = max(nj.class_of(n, s), nj.class_of(m, s))
+            assert c in nj.classes_of(n, s) and c in nj.classes_of(m, s)
+
+
+def test_partial_overlaps_are_rows_of_pairs_and_fragments(spark):
+    segments = spark.createDataFrame([(1, 1, 0, [1, 2, 3]), (1, 1, 1, [7]), (1, 1, 2, []), (2, 1, 0, [2, 3, 4]), (2, 1, 1, [7]), (2, 1, 2, [9])], "node long, c int, fragment int, keys array<long>")
+    pairs = spark.createDataFrame([(1, 2, 4, 5, 1, f) for f in range(3)], "a long, b long, n int, m int, c int, fragment int")
+    hubs = nj.Hot(pairs, "a"), nj.Hot(pairs, "b")
+    got = nj.partial_overlaps(pairs, segments, hubs).orderBy("fragment").collect()
+    assert [(r.fragment, r.o, r.x, r.y) for r in got] == [(0, 2, 3, 3), (1, 1, 1, 1), (2, 0, 0, 1)]
+
+
+CLASSES = (((0, 0.001),), ((0, 0.9),), ((0, 1.0), (10, 0.3), (40, 0.1)))
+
+
+@pytest.mark.parametrize("classes, hot, fragments", [(CLASSES[0], (0.002, 3), 3), (CLASSES[1], (0.0, 1), 4), (CLASSES[2], (2**-14, 64), 6), (CLASSES[2], (0.01, 1), 3)])
+def test_any_order_gives_the_same_result(spark, classes, hot, fragments):
     docs = corpus(7, 40)
-    assert run(spark, docs, head=head, fragments=2, sketch_bits=10, common=common) == brute(docs)
+    assert run(spark, docs, classes=classes, fragments=fragments, sketch_bits=10, hot=hot) == brute(docs)
+
+
+def test_hot_values_are_dealt_to_several_tasks(spark):
+    many = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(2000)], "k long, i long")
+    one = spark.createDataFrame([(i, i * 10) for i in range(2000)], "k long, v long")
+    hot = nj.Hot(many, "k")
+    assert [k for k, _ in hot.rows] == [7]
+    hot.rows = [(7, 5)]
+    got = sorted(tuple(r) for r in hot.join(many, one, ["k"], "k", deal="i").select("k", "i", "v").collect())
+    assert got == sorted((k, i, 10 * k) for i in range(2000) for k in [7 if i % 3 else i])
 
 
 def test_prefix_meets_every_link():
