@@ -5,10 +5,10 @@ in one global order, rare ones first. The order is cut into fragments, a set's p
 partial overlap of two sets is counted for each fragment by itself, as a row (pair, fragment); the rows are summed.
 
 * The order: the head (a range of hashes) by the exact number of nodes that have a shingle; the other shingles by hash;
-  and last those that a sketch of all counts finds hot. Texts of like size are a class with a head of its own: short
+  and last those that are common by a sketch of all counts. Texts of like size are a class with a head of its own: short
   texts are head altogether. A text near a class's end stands in the next class as well, so that any two texts that can
   reach the threshold meet in the larger one's class, and have the same order there.
-* Fragments: the head, even parts of the rest, and the hot shingles.
+* Fragments: the head, even parts of the rest, and the common shingles.
 * Two sets over the threshold share a shingle among the first ``n - ceil(t n) + 1`` of each. These lie in the head but
   for chance, and for nearly every text they are its own alone, which settles that it has no partner. For the others
   overlaps within these prefixes are summed per pair, and pairs that cannot reach the threshold go no further.
@@ -20,14 +20,14 @@ each shared shingle the two nodes that have most of their first shingles in comm
 of a group), which joins nearly every group. After that only pairs between different components are generated: what is
 left out lies inside a component already and cannot change the answer, so the components are those of all links.
 
-Shuffles are keyed by a shingle, a node or a pair. A hot shingle is one with more than 2**-14 of all; where prefixes
-reach such shingles, their rows are dealt by node, and so are rows of nodes with very many pairs. A shingle's nodes are
-streamed, never gathered. The sketch decides about the order and the dealing alone: whatever it says, the result is the same.
+Shuffles are keyed by a shingle, a node or a pair. Where prefixes reach common shingles, their rows are dealt by node, and
+so are rows of nodes with very many pairs. A shingle's nodes are streamed, never gathered. The sketch decides about the
+order and the dealing alone: whatever it says, the result is the same.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,9 +46,9 @@ class Settings:
     #: Of each size class the least set size and the share of the hashes that are its head. The shares leave a prefix
     #: outside the head with a chance of about one in a million.
     classes: tuple[tuple[int, float], ...] = ((0, 1.0), (128, 0.41), (512, 0.3), (2048, 0.25))
-    sketch_bits: int = 18  # counters: 1 MB from each task, 2 MB to the driver, and a bit each for all executors
-    hot: tuple[float, int] = (2**-14, 64)  # a counter above this share of all shingles, and this many, is hot
-    fragments: int = 4  # of each class: the head, parts of the rest, the hot shingles; 3 at least
+    sketch_bits: int | None = None  # log2 of the counters: a byte each from each task, a bit each for all; None: see sketch_size
+    common: tuple[float, int] = (4, 64)  # a counter above 4 times the mean plus 64 is common
+    fragments: int = 4  # of each class: the head, parts of the rest, the common shingles; 3 at least
     chunk_chars: int = 1_000_000
 
 
@@ -153,7 +153,17 @@ def fragment_bounds(c: int, s: Settings) -> list[int]:
     return [min(2**64 - 1, head + (2**64 - head) * f // parts) for f in range(parts)]
 
 
-_BLOCK = 1 << 12
+_BLOCK = 1 << 14
+
+
+def sketch_size(rows: DataFrame) -> int:
+    """log2 of the counters for an input: one for each 128 bytes, from 2**14 up to 2**22 (4 MB from each task).
+
+    Beyond half a gigabyte the mean grows with the input, and fewer shingles count as common. They matter only to sets
+    whose prefix leaves the head, which the classes keep to one in a million; the head is ordered by exact counts.
+    """
+    stats = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(14, min(22, (int(str(stats)) >> 7).bit_length()))
 
 
 def _first_pass(s: Settings):
@@ -166,15 +176,16 @@ def _first_pass(s: Settings):
         import numpy as np
 
         size = 1 << s.sketch_bits
-        seen = np.zeros(size, np.int64)
+        seen = np.zeros(size, np.uint32)
         for part, texts in _chunks(batches, 1, s.chunk_chars):
             sets = shingle_sets(texts, s.words)
-            seen += np.bincount(_counter(np.concatenate(sets), s), minlength=size)
+            own, more = np.unique(_counter(np.concatenate(sets), s), return_counts=True)
+            seen[own] += more.astype(np.uint32)
             none = pa.nulls(len(texts))
             halves = np.array([_name(x) for x in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if seen.any():
-            low = np.minimum(seen, 2**32 - 1).astype("<u4").reshape(-1, min(_BLOCK, size))
+            low = np.minimum(seen, 255).astype(np.uint8).reshape(-1, min(_BLOCK, size))
             none = pa.nulls(len(low), pa.int64())
             yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(range(len(low)), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], names)
 
@@ -188,30 +199,34 @@ def _counter(own, s: Settings):
     return (own & np.uint64((1 << s.sketch_bits) - 1)).astype(np.int64)
 
 
-def _add_blocks(batches):
-    """Sums the counts of each block that this partition gets, as they stream past."""
-    import numpy as np
+def _add_blocks(most: float):
+    """Sums the counts of each block that this partition gets, as they stream past: a bit for each counter above ``most``."""
     import pyarrow as pa
 
-    sums: dict = {}
-    for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            more = np.frombuffer(counts, "<u4")
-            sums[block] = sums[block] + more if block in sums else more.astype(np.int64)
-    for block, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["block", "counts"])
+    def run(batches):
+        import numpy as np
 
+        sums: dict = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                more = np.frombuffer(counts, np.uint8)
+                sums[block] = sums[block] + more if block in sums else more.astype(np.int64)
+        for block, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total > most).tobytes()], pa.binary())], ["block", "bits"])
 
-def hot_counters(blocks: DataFrame, s: Settings) -> bytes:
-    """A bit for each counter: whether it holds more than its share of all shingles. The driver gets 8 bytes for each."""
-    import numpy as np
+    return run
 
+
+def common_counters(first: DataFrame, s: Settings) -> bytes:
+    """A bit for each counter: whether it is far above the mean."""
     size = 1 << s.sketch_bits
-    counts = np.zeros((size // min(_BLOCK, size), min(_BLOCK, size)), np.int64)
-    for r in blocks.repartition(min(len(counts), shuffle_partitions(blocks.sparkSession)), "block").mapInArrow(_add_blocks, "block int, counts binary").toLocalIterator():
-        counts[r["block"]] = np.frombuffer(r["counts"], "<i8")
-    share, least = s.hot
-    return np.packbits(counts.ravel() > max(least, share * counts.sum())).tobytes()
+    bits = [bytes(min(_BLOCK, size) // 8)] * max(1, size // _BLOCK)
+    factor, more = s.common
+    most = factor * (first.agg(F.sum("n")).first()[0] or 0) / size + more
+    blocks = first.where(F.col("block").isNotNull()).select("block", "counts").repartition(min(len(bits), shuffle_partitions(first.sparkSession)), "block")
+    for r in blocks.mapInArrow(_add_blocks(most), "block int, bits binary").toLocalIterator():
+        bits[r["block"]] = bytes(r["bits"])
+    return b"".join(bits)
 
 
 def needed_of_one(n: int, s: Settings) -> int:
@@ -219,57 +234,61 @@ def needed_of_one(n: int, s: Settings) -> int:
     return -(-s.numerator * n // s.denominator)
 
 
-def ordered(own, c: int, hot, s: Settings):
-    """A set in its class's order as far as the hashes decide it: (head, the rest, hot shingles)."""
+def ordered(own, c: int, common, s: Settings):
+    """A set in its class's order as far as the hashes decide it: (head, the rest, common shingles)."""
     import numpy as np
 
-    last = hot[_counter(own, s)].astype(bool)
+    last = common[_counter(own, s)].astype(bool)
     plain = own[~last]
     k = len(plain) if s.classes[c][1] >= 1 else int(np.searchsorted(plain, np.uint64(fragment_bounds(c, s)[0])))
     return plain[:k], plain[k:], own[last]
 
 
-_POSTING = ["key", "h", "l", "n", "k", "c", "salt"]
-_POSTING_SCHEMA = "key long, h long, l long, n int, k int, c int, salt long"
-_POSTING_TYPES = ("i8", "i8", "i8", "i4", "i4", "i4", "i8")
+_POSTING = ["key", "h", "l", "meta"]
+_POSTING_SCHEMA = "key long, h long, l long, meta long"
 
 
-def _postings(hot_var, s: Settings):
+def _postings(common_var, s: Settings):
     """Of each set all shingles of the head, and those behind it that the prefix needs where the head holds too few.
 
-    Classes have keys of their own. ``salt`` is 0 but for hot shingles, whose rows are dealt by it.
+    Classes have keys of their own. meta: the head's size, three bits for the class, and one for a common shingle.
     """
     import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
-        hot = np.unpackbits(np.frombuffer(hot_var.value, np.uint8))
+        common = np.unpackbits(np.frombuffer(common_var.value, np.uint8))
         for _, texts in _chunks(batches, 0, s.chunk_chars):
-            keys, salts, rows, reps, seen = [], [], [], [], set()
+            keys, metas, names, reps, seen = [], [], [], [], set()
             for own in shingle_sets(texts, s.words):
                 n = len(own)
                 if not n or (name := _name(own)) in seen:
                     continue
                 seen.add(name)
                 for c in classes_of(n, s):
-                    head, rest, last = ordered(own, c, hot, s)
+                    head, rest, last = ordered(own, c, common, s)
                     most = max(n - needed_of_one(n, s) + 1, len(head))
                     tail = last[: max(0, most - len(head) - len(rest))]
                     row = np.concatenate([head, rest[: most - len(head)], tail])
                     keys.append(_mix(row + np.uint64(c)) if c else row)
-                    salts += [np.zeros(len(row) - len(tail), np.int64), np.full(len(tail), name[0] | 1)]
-                    rows.append((*name, n, len(head), c))
+                    meta = np.full(len(row), len(head) << 4 | c << 1)
+                    meta[len(row) - len(tail) :] |= 1
+                    metas.append(meta)
+                    names.append(name)
                     reps.append(len(row))
             if keys:
-                spread = [np.repeat(np.array(x, kind), reps) for x, kind in zip(zip(*rows, strict=True), _POSTING_TYPES[1:6], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys).view(np.int64), *spread, np.concatenate(salts))], _POSTING)
+                halves = np.repeat(np.array(names, np.int64), reps, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys).view(np.int64), halves[:, 0].copy(), halves[:, 1].copy(), np.concatenate(metas))], _POSTING)
 
     return run
 
 
 def _only_shared(batches):
-    """Rows sorted by key and name: drops repeats, and keys with a single node (hot ones never have one only)."""
+    """Rows sorted by key and h: drops repeats, and keys with a single node, but for common ones, which are dealt to many tasks.
+
+    (Names that agree in h alone may hide a repeat; it only makes counts that are upper bounds larger.)
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -285,24 +304,24 @@ def _only_shared(batches):
         new = np.concatenate([[True], ~same | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])
         cols = [c[new] for c in cols]
         same = cols[0][1:] == cols[0][:-1]
-        stay = np.concatenate([[shared], same]) | np.concatenate([same, [False]]) | (cols[-1] != 0)
+        stay = np.concatenate([[shared], same]) | np.concatenate([same, [False]]) | (cols[3] & 1).astype(bool)
         if len(same):
             shared = bool(same[-1])
         held = [c[-1] for c in cols]
         if stay[:-1].any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][stay[:-1]].astype(k)) for c, k in zip(cols, _POSTING_TYPES, strict=True)], _POSTING)
-    if held is not None and (shared or held[-1] != 0):
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([h], k)) for h, k in zip(held, _POSTING_TYPES, strict=True)], _POSTING)
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][stay[:-1]]) for c in cols], _POSTING)
+    if held is not None and (shared or held[3] & 1):
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([h], np.int64)) for h in held], _POSTING)
 
 
-def _segments(hot_var, s: Settings):
+def _segments(common_var, s: Settings):
     """(node, class, fragment, shingles): each wanted node's set, cut at the fragments' bounds of each wanted class."""
     import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
-        hot = np.unpackbits(np.frombuffer(hot_var.value, np.uint8))
+        common = np.unpackbits(np.frombuffer(common_var.value, np.uint8))
         for part, texts in _chunks(batches, 4, s.chunk_chars):
             at, pieces = [], []
             wanted = zip(*(part.column(k).to_pylist() for k in range(4)), shingle_sets(texts, s.words), strict=True)
@@ -310,7 +329,7 @@ def _segments(hot_var, s: Settings):
                 if not len(own) or _name(own) != (h, l):  # another text under the same id
                     continue
                 for c in classes:
-                    head, rest, last = ordered(own, c, hot, s)
+                    head, rest, last = ordered(own, c, common, s)
                     cut = np.searchsorted(rest, np.array(fragment_bounds(c, s)[1:], np.uint64))
                     for f, x in enumerate([head, *np.split(rest, cut), last]):
                         at.append((node, c, f))
@@ -352,10 +371,10 @@ def prefixes(held: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     and that of the shared ones, so they need no rows. A node whose prefix is its own alone disappears.
     """
     counted = held.join(held.groupBy("key").agg(F.count("*").alias("df")), "key")
-    own = held.groupBy("h", "l", "c").agg(F.count("*").alias("held"), F.first("n").alias("n"), F.first("k").alias("k"))
+    own = held.groupBy("h", "l", "c").agg(F.count("*").alias("held"), F.first("k").alias("k")).join(nodes.select("h", "l", "node", "n"), ["h", "l"])
     size = _prefix_size(F.col("n"), s)
     room = F.when(F.col("k") >= size, size - (F.col("k") - F.col("held"))).otherwise(F.col("held"))
-    roomy = own.select("h", "l", "c", room.alias("room"), size.alias("size")).where("room > 0").join(nodes.select("h", "l", "node"), ["h", "l"])
+    roomy = own.select("h", "l", "c", "node", "n", room.alias("room"), size.alias("size")).where("room > 0")
     rank = F.row_number().over(Window.partitionBy("h", "l", "c").orderBy("df", "key"))
     placed = counted.join(roomy, ["h", "l", "c"]).withColumn("rank", rank).where("rank <= room")
     return placed.select("key", "node", "n", F.col("room").cast("int").alias("room"), (F.col("room") / F.col("size")).alias("common"), (F.col("c") == _class(F.col("n"), s)).alias("home"))
@@ -411,7 +430,7 @@ def verify(pairs: DataFrame, segments: DataFrame, scratch: Scratch, s: Settings)
     first = pairs.withColumns({"c": F.greatest(_class(n, s), _class(m, s)), "fragment": F.lit(0)})
     head = scratch.save(partial_overlaps(first, segments, hubs).where(_reaches(F.col("o") + F.least(n - F.col("x"), m - F.col("y")), n, m, s)))
     later = [f for f in range(1, s.fragments)]
-    whole = F.lit(False)  # classes that are head altogether have nothing between the head and the hot shingles
+    whole = F.lit(False)  # classes that are head altogether have nothing between the head and the common shingles
     for c, (_, share) in enumerate(s.classes):
         whole = whole | (F.col("c") == c) if share >= 1 else whole
     numbers = F.when(whole, F.array(F.lit(later[-1]))).otherwise(F.array(*map(F.lit, later)))
@@ -433,17 +452,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     Sets are named by 128 bits, and shingles by 64 bits of a hash. Two different shingles that share a hash can only make
     two sets look more alike by one shingle, and only if both sets hold one of the two.
     """
-    s = settings
     scratch = scratch or Scratch(spark, "ngramjoin")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    s = settings if settings.sketch_bits else replace(settings, sketch_bits=sketch_size(rows))
     first = scratch.save(rows.mapInArrow(_first_pass(s), "doc_id long, n long, h long, l long, block int, counts binary"))
     names = first.where(F.col("block").isNull()).select("doc_id", "n", "h", "l")
-    hot_var = spark.sparkContext.broadcast(hot_counters(first.where(F.col("block").isNotNull()).select("block", "counts"), s))
+    common_var = spark.sparkContext.broadcast(common_counters(first, s))
     known = names.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # numbers for the names: they are fixed once the table is written
-    nodes = scratch.save(known.groupBy("h", "l").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
-    postings = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(hot_var, s), _POSTING_SCHEMA)
-    held = scratch.save(postings.repartition(shuffle_partitions(spark), "key", "salt").sortWithinPartitions("key", "h", "l").mapInArrow(_only_shared, _POSTING_SCHEMA).drop("salt"))
+    nodes = scratch.save(known.groupBy("h", "l").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    postings = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(common_var, s), _POSTING_SCHEMA)
+    dealt = postings.repartition(shuffle_partitions(spark), F.col("key"), F.expr("if(meta & 1 = 1, h, 0)")).sortWithinPartitions("key", "h").mapInArrow(_only_shared, _POSTING_SCHEMA)
+    held = scratch.save(dealt.select("key", "h", "l", F.expr("cast(meta >> 4 as int)").alias("k"), F.expr("cast(meta >> 1 & 7 as int)").alias("c")))
     shared = scratch.save(prefixes(held, nodes, s))
     scratch.drop(held)
 
@@ -455,7 +475,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
         ends = pairs.select(F.col("a").alias("node"), c).union(pairs.select(F.col("b").alias("node"), c)).groupBy("node").agg(F.collect_set("c").alias("classes"))
         wanted = ends.join(nodes, "node").select(F.col("rep").alias("doc_id"), "node", "classes", "h", "l")
         texts = rows.join(wanted, "doc_id").select("node", "classes", "h", "l", "text")
-        segments = scratch.save(texts.mapInArrow(_segments(hot_var, s), "node long, c int, fragment int, keys array<long>").dropDuplicates(["node", "c", "fragment"]))
+        segments = scratch.save(texts.mapInArrow(_segments(common_var, s), "node long, c int, fragment int, keys array<long>").dropDuplicates(["node", "c", "fragment"]))
         found = scratch.save(verify(pairs, segments, scratch, s))
         scratch.drop(segments)
         return found
