@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,21 +57,35 @@ class AuditLog:
             return self.spark.createDataFrame([], SCHEMA)
 
     def append(self, changes: DataFrame, *, dry_run: bool = False, low: float = rules.LOW_CONFIDENCE) -> DataFrame:
-        """The new rows in the log's columns, written unless ``dry_run``; unknown fields are left out, unknown sources refused."""
+        """The new rows in the log's columns, written unless ``dry_run``; unknown fields are left out, unknown sources refused.
+
+        Ids follow the largest one, in the order of session, row, field and values. Rows are dealt by ranges of that
+        order, the ranges' sizes are summed up, and each range numbers its own rows, so no task holds them all. One
+        writer at a time: ids are taken from the log as it is read.
+        """
         bad = changes.where(~F.col("source").isin(*rules.AUDIT_SOURCES) | F.col("source").isNull())
         if not bad.isEmpty():
             raise ValueError(f"source must be one of {rules.AUDIT_SOURCES}")
         last = self.read().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        judged = auditable(changes).withColumns({"status": status(*(F.col(c) for c in ("field_name", "old_value", "new_value", "confidence")), low=low), "timestamp": F.current_timestamp()})
-        order = Window.partitionBy("session_id").orderBy("transaction_index", "field_name")
-        # ids: the sessions' sizes summed up first, so that no window holds all rows
-        sizes = judged.groupBy("session_id").agg(F.count("*").alias("n"))
-        before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("session_id").rowsBetween(Window.unboundedPreceding, -1))).select("session_id", F.coalesce("before", F.lit(0)).alias("before"))
-        rows = judged.withColumn("r", F.row_number().over(order)).join(before, "session_id", "left")
-        out = rows.withColumn("id", F.lit(last) + F.coalesce("before", F.lit(0)) + F.col("r"))
+        judged = auditable(changes).withColumns({"status": status(*(F.col(c) for c in ("field_name", "old_value", "new_value", "confidence")), low=low), "timestamp": F.lit(datetime.now())})
+        keys = ["session_id", "transaction_index", "field_name", "old_value", "new_value", "confidence", "bbox", "page", "source"]
+        dealt = judged.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
+        if not dry_run:  # ranges come from a sample: they are fixed by writing them down
+            staged = f"{self.path}.staged"
+            dealt.write.mode("overwrite").parquet(staged)
+            dealt = self.spark.read.schema(dealt.schema).parquet(staged)
+        sizes = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}  # one for each partition
+        before, total = [], last
+        for part in sorted(sizes):
+            before.append((part, total))
+            total += sizes[part]
+        starts = F.broadcast(self.spark.createDataFrame(before, "__part int, __before long"))
+        place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+        out = dealt.join(starts, "__part").withColumn("id", F.col("__before") + place)
         out = out.select(*(F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in SCHEMA.split(", ")))
         if not dry_run:
             out.write.mode("append").parquet(self.path)
+            return self.read().where(F.col("id") > last)
         return out
 
 

@@ -33,10 +33,18 @@ def ui_reconciliation(reconciled: DataFrame) -> DataFrame:
     return reconciled.select("doc_id", credit.cast("double").alias("total_credits"), debit.cast("double").alias("total_debits"), (F.col("status") == "BALANCED").alias("reconciled"))
 
 
-def console_totals(rows: DataFrame) -> DataFrame:
-    """Totals by sign, for statements that report no components."""
-    amount = F.col("amount")
-    return rows.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(amount > 0, amount)), F.lit(0)).cast("double").alias("credits"), F.coalesce(F.sum(F.when(amount < 0, -amount)), F.lit(0)).cast("double").alias("debits"), F.count("*").alias("transactions"))
+def console_totals(rows: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """Credits and debits of the console summary: the reported components (doc_id, components) where any of them counts,
+    else sums by sign."""
+    amount, zero = F.col("amount"), F.lit(0).cast("decimal(28,2)")
+    signs = rows.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(amount > 0, amount)), zero).cast("double").alias("credits"), F.coalesce(F.sum(F.when(amount < 0, -amount)), zero).cast("double").alias("debits"), F.count("*").alias("transactions"))
+    if components is None:
+        return signs
+    total = lambda *names: sum((F.coalesce(F.col("components")[n].cast("double"), F.lit(0.0)) for n in names), F.lit(0.0))
+    told = components.select("doc_id", F.round(total("deposits_credits", "payments_and_credits"), 2).alias("c"), F.round(total("withdrawals_debits", "purchases_and_charges", "fees_charged", "interest_charged"), 2).alias("d"))
+    full = told.join(signs, "doc_id", "left").fillna(0)
+    none = (F.col("c") == 0) & (F.col("d") == 0)
+    return full.select("doc_id", F.when(none, F.col("credits")).otherwise(F.col("c")).alias("credits"), F.when(none, F.col("debits")).otherwise(F.col("d")).alias("debits"), "transactions")
 
 
 def grid_filter(rows: DataFrame, needle: str) -> DataFrame:
@@ -82,6 +90,10 @@ def hit_test(rows: DataFrame, points: DataFrame) -> DataFrame:
     return found.withColumns({"part": part, "__r": first}).where("__r = 1").select("point_id", "idx", "part")
 
 
-def snip_fields(hint: Column) -> Column:
-    """Which fields a snip with this hint writes."""
-    return F.when(hint.isin("date", "description", "amount", "balance"), F.array(hint)).otherwise(F.array(F.lit("date"), F.lit("description"), F.lit("amount")))
+def snip_fields(hint: Column, date: Column, amount: Column, cleaned: Column) -> Column:
+    """What a snip with this hint writes, as a map: fields that it names and that were read; other hints write nothing."""
+    whole = F.trim(F.coalesce(cleaned, F.lit("")))
+    wants = lambda n: F.coalesce(hint.isin("all", n), F.lit(False))
+    entry = lambda n, v, given: F.when(wants(n) & given, F.struct(F.lit(n).alias("key"), v.cast("string").alias("value")))
+    found = F.array(entry("date", date, F.coalesce(date, F.lit("")) != ""), entry("amount", amount, amount.isNotNull()), entry("description", whole, whole != ""))
+    return F.map_from_entries(F.filter(found, lambda e: e.isNotNull()))

@@ -111,7 +111,7 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pdf_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Tokens of vector PDFs, ready for ``plans.statement.process``."""
+    """Tokens of vector PDFs, ready for ``plans.statement.process``; ``failed_files`` has the files that gave none."""
     from pyspark.sql import functions as F
 
     from .tables import reading_order, split_spans
@@ -119,3 +119,20 @@ def read_pdf_tokens(spark: SparkSession, path: str) -> DataFrame:
     words = split_spans(read_spans(spark, path).where("text IS NOT NULL"))
     ordered = reading_order(words)
     return ordered.select("doc_id", "page", "ord", "text", "x0", "y0", "x1", "y1", F.lit("DIGITAL").alias("mode"), F.lit(1.0).alias("confidence"), F.lit(None).cast("double").alias("font_size"))
+
+
+def failed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, error) of the PDF files that cannot be read."""
+    return read_spans(spark, path).where("error IS NOT NULL").select("doc_id", "error")
+
+
+def page_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, page, page_w, page_h, words, images) for ``classify.route_pages``; image boxes are not read, so there are none."""
+    from pyspark.sql import functions as F
+
+    from .tables import split_spans
+
+    spans = read_spans(spark, path).where("error IS NULL")
+    words = split_spans(spans.where("text IS NOT NULL")).groupBy("doc_id", "page").agg(F.collect_list("text").alias("words"))
+    sizes = spans.groupBy("doc_id", "page").agg(F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
+    return sizes.join(words, ["doc_id", "page"], "left").withColumns({"words": F.coalesce("words", F.array().cast("array<string>")), "images": F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")})

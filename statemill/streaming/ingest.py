@@ -18,9 +18,9 @@ def ingest(tokens: DataFrame, out: str, checkpoint: str, once: bool = True) -> S
     batch has its own folder that is overwritten, so that a repeated batch leaves no doubles."""
 
     def write(batch: DataFrame, number: int) -> None:
-        done = process(batch)
-        done.transactions.write.mode("overwrite").parquet(f"{out}/transactions/batch={number}")
-        done.reconciliation.write.mode("overwrite").parquet(f"{out}/reconciliation/batch={number}")
+        with process(batch) as done:
+            done.transactions.write.mode("overwrite").parquet(f"{out}/transactions/batch={number}")
+            done.reconciliation.write.mode("overwrite").parquet(f"{out}/reconciliation/batch={number}")
 
     stream = tokens.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (stream.trigger(availableNow=True) if once else stream).start()

@@ -1,6 +1,5 @@
 import io
 import json
-import os
 import random
 import zipfile
 from decimal import Decimal as D
@@ -13,8 +12,6 @@ from statemill.operators import audit, geometry, ledger, matching, raster, ui
 from statemill.plans.statement import process
 from statemill.sources import pdf, sinks, tables
 
-#: The whole plan has many small stages; on a busy machine it takes minutes.
-slow = pytest.mark.skipif(not os.environ.get("STATEMILL_SLOW"), reason="set STATEMILL_SLOW=1 to run the whole plan")
 ENTRY = "doc_id int, idx int, date string, description string, amount decimal(28,2), balance decimal(28,2), check_number string, page int, is_balance_forward boolean"
 
 
@@ -81,13 +78,60 @@ def test_continuity(spark):
     assert [(r.page, r.expected, r.carried_forward) for r in got] == [(1, D("10.00"), D("11.00"))]
 
 
+TXN = "doc_id string, idx int, page int, description string, amount decimal(28,2), check_number string, type string"
+CHECK = "doc_id string, check_ord int, page int, check_number string, amount decimal(28,2), payee_name string, confidence double"
+
+
+def spec_checks(checks, txns):
+    """A plain reading of the rules for one document: {idx: (check_number, payee, flag)} of rows that have any."""
+    work = [[t[2], t[4], t[5] or None, t[6] or "", None, None] for t in txns]
+    for c in checks:
+        if c[4] is None:
+            continue
+        best = None
+        for k, w in enumerate(work):
+            if w[0] == c[2] and w[1] is not None and w[1] < 0 and not w[2] and w[3].lower() in ("debit", "unknown", ""):
+                diff = abs(abs(w[1]) - abs(c[4]))
+                if diff <= D("0.50") and (best is None or diff < best[0]):
+                    best = diff, k
+        if best:
+            w = work[best[1]]
+            w[2], w[4] = c[3] or w[2], c[5]
+        else:
+            work.append([c[2], -abs(c[4]), c[3], "debit", c[5], "manual_review"])
+    return sorted((str(w[0]), w[1], w[2], w[4], w[5]) for w in work if w[2] or w[4] or w[5])
+
+
 def test_checks(spark):
     txn = [("a", 0, 0, "x", D("-100.00"), None, "debit"), ("a", 1, 0, "y", D("-100.30"), None, "debit"), ("a", 2, 1, "z", D("-100.00"), None, "debit")]
-    checks = [("a", 0, 0, "11", D("100.20"), "P", 0.9), ("a", 1, 0, "12", D("100.25"), "Q", 0.9), ("a", 2, 0, "13", D("100.00"), "R", 0.9), ("a", 3, 0, "14", None, "S", 0.9)]
-    t = spark.createDataFrame(txn, "doc_id string, idx int, page int, description string, amount decimal(28,2), check_number string, type string")
-    c = spark.createDataFrame(checks, "doc_id string, check_ord int, page int, check_number string, amount decimal(28,2), payee_name string, confidence double")
-    got = {r.idx: (r.check_number, r.review_flag) for r in matching.match_checks(c, t).collect()}
-    assert got == {0: ("12", False), 1: ("11", False), 2: (None, False), 3: ("13", True)}
+    checks = [("a", 0, 0, "11", D("100.20"), "P", 0.9), ("a", 1, 0, "12", D("100.25"), "Q", 0.9), ("a", 2, 0, "13", D("100.00"), "R", 0.9), ("a", 3, 0, "14", None, "S", 0.9), ("a", 4, 0, None, D("7.00"), "T", 0.9), ("a", 5, 0, "15", D("7.10"), "U", 0.9), ("a", 6, 3, None, D("1.00"), None, 0.9)]
+    got = {r.idx: (r.check_number, r.review_flag, r.source, r.payee_name) for r in matching.match_checks(spark.createDataFrame(checks, CHECK), spark.createDataFrame(txn, TXN)).collect()}
+    assert got == {0: ("12", None, "check_ocr", "Q"), 1: ("11", None, "check_ocr", "P"), 2: (None, None, None, None), 3: ("13", "manual_review", "check_ocr", "R"), 4: ("15", "manual_review", "check_ocr", "U"), 5: (None, "manual_review", "check_ocr", None)}
+
+
+def test_checks_against_a_plain_version(spark):
+    rng, txns, checks = random.Random(3), {}, {}
+    for doc in range(40):
+        money = lambda: D(rng.randrange(9900, 10200)) / 100
+        txns[doc] = [(str(doc), i, rng.randrange(2), "x", -money() if rng.random() < 0.8 else money(), rng.choice([None, None, "", "9"]), rng.choice(["debit", None, "unknown", "note"])) for i in range(6)]
+        checks[doc] = [(str(doc), i, rng.randrange(2), rng.choice([None, "", f"n{i}"]), rng.choice([None, money(), money(), money()]), rng.choice([None, f"p{i}"]), 0.9) for i in range(6)]
+    out = matching.match_checks(spark.createDataFrame(sum(checks.values(), []), CHECK), spark.createDataFrame(sum(txns.values(), []), TXN)).collect()
+    for doc in txns:
+        own = [r for r in out if r.doc_id == str(doc)]
+        got = sorted(((str(r.page), r.amount, r.check_number or None, r.payee_name, r.review_flag) for r in own if r.check_number or r.payee_name or r.review_flag), key=repr)
+        assert got == sorted(((p, a, n or None, y, f) for p, a, n, y, f in spec_checks(checks[doc], txns[doc])), key=repr)
+
+
+def test_console_totals(spark):
+    rows = spark.createDataFrame([(1, D("5.00")), (1, D("-2.00")), (2, D("5.00")), (3, D("1.00"))], "doc_id int, amount decimal(28,2)")
+    told = spark.createDataFrame([(1, {"deposits_credits": D("9.00"), "fees_charged": D("1.00")}), (2, {"deposits_credits": D("0.00")}), (3, None)], "doc_id int, components map<string,decimal(28,2)>")
+    assert [tuple(r) for r in ui.console_totals(rows, told).orderBy("doc_id").collect()] == [(1, 9.0, 1.0, 2), (2, 5.0, 0.0, 1), (3, 1.0, 0.0, 1)]
+
+
+def test_snip_fields(spark):
+    rows = [("all", "2024-01-05", 5.0, " x "), ("date", None, 5.0, "x"), ("amount", None, 5.0, ""), ("balance", "d", 5.0, "x"), (None, "d", 5.0, "x"), ("description", None, None, " ")]
+    df = spark.createDataFrame(rows, "h string, d string, a double, c string").select(ui.snip_fields(F.col("h"), F.col("d"), F.col("a"), F.col("c")).alias("m"))
+    assert [r.m for r in df.collect()] == [{"date": "2024-01-05", "amount": "5.0", "description": "x"}, {}, {"amount": "5.0"}, {}, {}, {}]
 
 
 @pytest.fixture(scope="module")
@@ -96,7 +140,6 @@ def done(spark):
     return process(tokens)
 
 
-@slow
 def test_whole_statement(done):
     s = {r.doc_id: r for r in done.summaries.collect()}["bank"]
     assert (s.opening, s.closing) == (D("5000.00"), D("8000.00")) and s.account_number == "12-3456-789"
@@ -146,6 +189,7 @@ def test_pdf_source(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"nothing")
     spans = pdf.read_spans(spark, str(tmp_path)).orderBy("doc_id", "span").collect()
     assert [s.text for s in spans] == ["Opening (first) Balance", "two words", None] and spans[2].error.startswith("ValueError")
+    assert [r.doc_id.rsplit("/", 1)[1] for r in pdf.failed_files(spark, str(tmp_path)).collect()] == ["b.pdf"]
     words = pdf.read_pdf_tokens(spark, str(tmp_path)).orderBy("ord").collect()
     assert [w.text for w in words] == ["Opening", "(first)", "Balance", "two", "words"]
     assert words[0].x0 == 50.0 and abs(words[1].x0 - (50 + 8 * 6)) < 1e-9 and words[0].y1 == 842 - 770
@@ -199,7 +243,6 @@ def test_row_edits(spark):
     assert [r.type for r in audit.toggle_type(rows, F.col("idx") == 0).orderBy("idx").collect()] == ["debit", "debit", "debit"]
 
 
-@slow
 def test_stream(spark, tmp_path):
     from statemill.streaming.ingest import ingest, stream_tokens
 
