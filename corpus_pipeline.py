@@ -1,10 +1,10 @@
 """The corpus pipeline: every stage works on all that the one before it kept, written as Parquet and read again.
 
 1. quality: the ordinal classifier, fitted on the rated documents, drops what it doesn't accept as good.
-2. line_dedup: lines that three documents or more hold stay in one of them; documents left without any text go.
+2. line_dedup: lines that three documents or more hold stay in one of them; documents that this leaves without text go.
 3. ngram_join: of each component of near copies the document with the smallest id stays.
 4. decontaminate: documents that hold benchmark passages go.
-5. encode: what is left becomes SentencePiece tokens.
+5. encode: what is left becomes SentencePiece tokens, which are decoded again and compared with the text.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; a null or empty text is judged like any other, repeated rows alike."""
     rated = table(spark, sf_dir, "labels").withColumn("grade", quality.grades())
     model = quality.train(spark, docs, rated)
     return quality.score(docs, model).where("accept").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated lines; those that lose lines and have no text left go, all others stay as they are."""
     out = linededup.dedup_lines(spark, docs)
     changed = F.col("n_dropped") > 0
     out = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -34,20 +36,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component; documents without words or id link with nothing and stay."""
     found = ngramjoin.jaccard_components(spark, docs)
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by the benchmark; a null text has no words and stays."""
     return contamination.decontaminate(spark, docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with open(PIECE_MODEL, "rb") as f:
-        model = f.read()
-    out = tokenization.encode(docs, model)
-    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    """Every document's tokens, and whether they decode to its text; a null text has null tokens."""
+    model = tokenization.read_model(spark, PIECE_MODEL)
+    out = tokenization.decode(tokenization.encode(docs, model), model)
+    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 STAGES = [
