@@ -64,3 +64,15 @@ def test_empty_tables_and_removal(spark):
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     out = dc.decontaminate(spark, d, b)
     assert out.columns == ["doc_id", "text", "source"] and [r.doc_id for r in out.collect()] == [2]
+
+
+def test_repeated_words_give_few_matches(spark):
+    items = [(1, "a " * 400), (2, "a " * 30 + "b " * 30)]
+    docs = [(1, "a " * 20_000), (2, "b " * 500 + "c " + "a " * 12), (3, "a " * 29 + "b " * 14)]
+    got, rows = run(spark, docs, items)
+    assert got == brute(docs, items)
+    assert all(len(r.matches) <= r.n_words for r in rows) and sum(len(r.matches) for r in rows) < 2500
+    own = {i: words(t) for i, t in items}
+    for r in rows:
+        said = words(dict(docs)[r.doc_id])
+        assert all(said[m.doc_at : m.doc_at + m.n_words] == own[m.item_id][m.item_at : m.item_at + m.n_words] for m in r.matches)

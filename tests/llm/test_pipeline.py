@@ -28,7 +28,7 @@ def texts(df):
 def test_stages_keep_the_columns(steps):
     for _, before, after in steps[:-1]:
         assert after.dtypes == before.dtypes
-    assert steps[-1][2].columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"]
+    assert steps[-1][2].columns == ["doc_id", "lang", "source", "n_tokens", "token_ids", "round_trip"]
 
 
 def test_quality(steps, spark):
@@ -65,7 +65,7 @@ def test_tokens(steps):
     rows = steps[4][2].collect()
     assert {r.doc_id for r in rows} == before.keys() and len(rows) == len(before)
     for r in rows:
-        assert r.token_ids == own.encode(before[r.doc_id]) and r.n_tokens == len(r.token_ids)
+        assert r.token_ids == own.encode(before[r.doc_id]) and r.n_tokens == len(r.token_ids) and r.round_trip == (own.decode(r.token_ids) == before[r.doc_id])
 
 
 def test_run_gives_the_same_rows(steps, spark):
