@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import money, text
 from ..operators import audit, classify, ledger, matching, ui
-from . import views
+from . import token_queries, views
 
 _cents = lambda c: (F.col(c) * 100).cast("long").alias(c)
 
@@ -214,6 +214,7 @@ QUERIES = {
     "f15_audit_status": f15_audit_status,
     "s3_fragmented": s3_fragmented,
     "j1_check_candidates": j1_check_candidates,
+    **token_queries.QUERIES,
 }
 
 ORACLE_SQL = {
@@ -230,4 +231,5 @@ ORACLE_SQL = {
     "f15_audit_status": F15_SQL,
     "s3_fragmented": S3_SQL,
     "j1_check_candidates": J1_SQL,
+    **token_queries.ORACLE_SQL,
 }

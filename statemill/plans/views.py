@@ -62,3 +62,64 @@ def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "events")
     return spark.sql(CHANGES)
+
+
+#: Statements printed from the order lines, four to a page, as words on nominal baselines: role, line number, column.
+#: Page 0 has balances, a header, and for every fourth order a section of payments; other pages take its layout over.
+_PRICE = "CAST(l_extendedprice AS DECIMAL(18, 2))"
+LINES = f"""
+SELECT doc, ln, CAST(floor((ln - 1) / 4) AS INTEGER) AS page, 40 + 30 * ((ln - 1) % 4 + 1) AS base, day, part, supp, qty, CASE WHEN ln % 2 = 1 THEN -price ELSE price END AS printed,
+       CASE WHEN ln % 2 = 1 OR doc % 4 = 0 THEN -price ELSE price END AS amount
+FROM (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS ln, CAST(l_shipdate AS DATE) AS day,
+             l_partkey AS part, l_suppkey AS supp, CAST(l_quantity AS DECIMAL(18, 2)) AS qty, {_PRICE} AS price FROM lineitem) t
+"""
+TOTALS = "SELECT doc, sum(amount) AS total, 1000 + sum(amount) + CASE WHEN doc % 2 = 1 THEN 5 ELSE 0 END AS closing FROM lines GROUP BY doc"
+
+
+#: The same words for every document: role, baseline, x:text.
+_FIXED = (("opening", 10, "50:Opening 90:Balance 330:1000.00"), ("header", 40, "50:Date 130:Description 330:Amount 430:Balance"), ("closing", 385, "50:Closing 90:Balance"), ("footer", 400, "50:Page 75:1 85:of 100:2"))
+
+
+def _fixed(role: str, base: int, words: str) -> str:
+    parts = [w.split(":") for w in words.split()]
+    return " UNION ALL ".join(f"SELECT doc, 0 AS page, {base} AS base, '{role}' AS role, 0 AS ln, {x} AS x0, '{t}' AS text FROM totals" for x, t in parts)
+
+
+_CELLS = (
+    ("txn", 0, 50, "CAST(day AS STRING)", "true"),
+    ("txn", 0, 130, "'ITEM'", "true"),
+    ("txn", 0, 155, "'P' || CAST(part AS STRING)", "true"),
+    ("txn", 0, 330, "CAST(printed AS STRING)", "true"),
+    ("txn", 0, 430, "CAST(qty AS STRING)", "true"),
+    ("after", 12, 130, "'LOT'", "ln % 3 = 0"),
+    ("after", 12, 150, "'Q' || CAST(supp AS STRING)", "ln % 3 = 0"),
+    ("before", -10, 130, "'REF'", "ln % 3 = 2"),
+    ("before", -10, 150, "'R' || CAST(ln AS STRING)", "ln % 3 = 2"),
+)
+WORDS = " UNION ALL ".join(
+    [
+        *(f"SELECT doc, page, base + {dy} AS base, '{role}' AS role, ln, {x} AS x0, {text} AS text FROM lines WHERE {cond}" for role, dy, x, text, cond in _CELLS),
+        *(_fixed(*x) for x in _FIXED),
+        _fixed("section", 55, "50:Payments") + " WHERE doc % 4 = 0",
+        "SELECT doc, 0 AS page, 385 AS base, 'closing' AS role, 0 AS ln, 330 AS x0, CAST(CAST(closing AS DECIMAL(18, 2)) AS STRING) AS text FROM totals",
+    ]
+)
+_TOKEN = """
+CAST(doc AS STRING) AS doc_id, page, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY base, x0) AS BIGINT) AS ord, text, CAST(x0 AS DOUBLE) AS x0, base + (length(text) % 4) * CAST(0.5 AS DOUBLE) AS y0,
+CAST(x0 + 5 * length(text) AS DOUBLE) AS x1, base + 10 + (length(text) % 4) * CAST(0.5 AS DOUBLE) AS y1, 'DIGITAL' AS mode, CAST(CASE length(text) % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.75 ELSE 1 END AS DOUBLE) AS confidence,
+CAST(NULL AS DOUBLE) AS font_size, doc, base, role, ln
+"""
+#: The columns doc, base, role and ln are what the oracles need beside the token's own.
+TOKENS = f"WITH lines AS ({LINES}), totals AS ({TOTALS}), words AS ({WORDS}) SELECT {_TOKEN} FROM words"
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as TOKENS, printed in one pass over the lines and one over the documents."""
+    tables(spark, sf_dir, "lineitem")
+    spark.sql(LINES).createOrReplaceTempView("lines")
+    word = lambda dy, role, ln, x, text: f"named_struct('base', {dy}, 'role', '{role}', 'ln', {ln}, 'x0', {x}, 'text', {text})"
+    cells = ", ".join(f"if({cond}, {word(f'CAST(base + {dy} AS INT)', role, 'ln', x, text)}, NULL)" for role, dy, x, text, cond in _CELLS)
+    fixed = [word(base, role, 0, x, f"'{t}'") for role, base, words in _FIXED for x, t in (w.split(":") for w in words.split())]
+    fixed += [f"if(doc % 4 = 0, {word(55, 'section', 0, 50, repr('Payments'))}, NULL)", word(385, "closing", 0, 330, "CAST(CAST(closing AS DECIMAL(18, 2)) AS STRING)")]
+    spark.sql(f"SELECT doc, page, inline(filter(array({cells}), x -> x IS NOT NULL)) FROM lines UNION ALL SELECT doc, 0, inline(filter(array({', '.join(fixed)}), x -> x IS NOT NULL)) FROM ({TOTALS})").createOrReplaceTempView("words")
+    return spark.sql(f"SELECT {_TOKEN} FROM words").drop("doc", "base", "role", "ln")
