@@ -146,21 +146,38 @@ def train(spark: SparkSession, docs: DataFrame, rated: DataFrame, *, id_col: str
                 found = [np.array(sorted(reader.features(t)), "<u4").tobytes() for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.binary())], ["grade", "features"])
 
-    rows = texts.select("__text", "__grade").mapInArrow(read, "grade int, features binary").collect()
-    rows.sort(key=lambda r: (r["grade"], bytes(r["features"])))
-    return fit([np.frombuffer(r["features"], "<u4") for r in rows], np.array([r["grade"] for r in rows], np.int64), s)
+    rows = sorted((r["grade"], bytes(r["features"])) for r in texts.select("__text", "__grade").mapInArrow(read, "grade int, features binary").collect())
+    y, sizes = np.array([g for g, _ in rows], np.int64), np.array([len(b) // 4 for _, b in rows], np.int64)
+    flat = np.frombuffer(b"".join(b for _, b in rows), "<u4")
+    del rows
+    return fit(flat, sizes, y, s)
 
 
-def fit(each: list, y, s: Settings) -> Model:
-    """The model of rows with these feature hashes and grades."""
+def _frequent(flat, least: int):
+    """Which of the hashes occur often enough to be selected; a megabyte of hashes at a time."""
     import numpy as np
 
-    rows = each
-    if not rows:
+    ordered = np.sort(flat)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    known = ordered[first[np.diff(np.append(first, len(flat))) >= least]]
+    del ordered
+    if not len(known):
+        return np.zeros(len(flat), bool)
+    parts = (flat[a : a + 262_144] for a in range(0, len(flat), 262_144))
+    return np.concatenate([known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x for x in parts])
+
+
+def fit(flat, sizes, y, s: Settings) -> Model:
+    """The model of rows with these feature hashes (all rows' in ``flat``, ``sizes`` of them each) and grades."""
+    import numpy as np
+
+    rows = y
+    if not len(rows):
         return Model({}, [], s)
     levels = int(y.max()) + 1
-    owner = np.repeat(np.arange(len(rows)), [len(e) for e in each])
-    used, at = _select(np.concatenate(each), owner, y, levels, len(rows), s)
+    often = _frequent(flat, s.least_docs)  # most words are rare, and rare ones are never selected
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[often]
+    used, at = _select(flat[often], owner, y, levels, len(rows), s)
     owner, at = owner[at >= 0], at[at >= 0]
     # thresholds start at the observed shares; distances between them stay positive as exponentials
     below = np.clip(np.array([(y <= k).mean() for k in range(levels - 1)]), 1e-3, 1 - 1e-3)
