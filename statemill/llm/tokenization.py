@@ -252,30 +252,50 @@ def _schema(df: DataFrame, added: dict[str, str]) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{c}` {kind}" for c, kind in added.items())])
 
 
-def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", ids_col: str = "token_ids", verify: bool = True, threads: int = 2, batch_chars: int = 1_000_000) -> DataFrame:
+def _come_back(tok: Coder, texts: list[str], flat, ends, back: dict[str, bool]) -> list[bool]:
+    """Whether each text is what its tokens decode to; ``back`` remembers units. Decoding is concatenation, so a text made
+    of units that come back is one that comes back; the units are decoded once each. Without units, whole texts are."""
+    if not tok.by_unit:
+        starts = [0, *ends[:-1].tolist()] if len(ends) else []
+        return [x == t for x, t in zip(tok.decode([flat[i:j].tolist() for i, j in zip(starts, ends.tolist(), strict=True)]), texts, strict=True)]
+    split = [dict.fromkeys(tok.units(t)) if t else {} for t in texts]
+    if len(back) > tok.most_units:
+        back.clear()
+    new = [u for u in dict.fromkeys(u for x in split for u in x) if u not in back]
+    for u, text in zip(new, tok.decode([tok.unit_tokens(u) for u in new]), strict=True):
+        back[u] = text == u.replace(SPACE, " ")
+    return [all(map(back.__getitem__, x)) and SPACE not in t for x, t in zip(split, texts, strict=True)]
+
+
+def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", ids_col: str = "token_ids", round_trip: str | None = None, verify: bool = True, threads: int = 2, batch_chars: int = 1_000_000) -> DataFrame:
     """Adds ``ids_col``, the tokens (array of int) of each whole text.
 
     A null text gives null ids, an empty text no ids. Rows are never dropped or merged; other columns pass through, and
     an input column named like ``ids_col`` is replaced. Batches hold about ``batch_chars`` characters (a longer text is
     a batch of its own) and are encoded on ``threads`` threads. ``verify`` compares with SentencePiece as it goes.
+    ``round_trip`` names a column to add (a boolean): the tokens, decoded in the same worker, are the text; null for null.
     """
     import pyarrow as pa
 
-    kept = docs.drop(ids_col)
+    kept = docs.drop(ids_col, *([round_trip] if round_trip else []))
 
     def run(batches):
         import numpy as np
 
         tok = coder(model, verify, threads)
+        back: dict[str, bool] = {}
         for whole in batches:
             texts = whole.column(text_col).to_pylist()
             for a, b in _runs(texts, batch_chars):
                 part = whole.slice(a, b - a)
-                flat, ends = tok.encode([t or "" for t in texts[a:b]])
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.array([*(t is None for t in texts[a:b]), False]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))], [*part.schema.names, ids_col])
+                filled, nulls = [t or "" for t in texts[a:b]], np.array([t is None for t in texts[a:b]])
+                flat, ends = tok.encode(filled)
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(nulls, False))
+                more = [pa.array(_come_back(tok, filled, flat, ends, back), pa.bool_(), mask=nulls)] if round_trip else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat)), *more], [*part.schema.names, *added])
 
-    return kept.mapInArrow(run, _schema(kept, {ids_col: "array<int>"}))
+    added = {ids_col: "array<int>"} | ({round_trip: "boolean"} if round_trip else {})
+    return kept.mapInArrow(run, _schema(kept, added))
 
 
 def decode(rows: DataFrame, model: bytes, *, ids_col: str = "token_ids", text_col: str = "decoded", threads: int = 2) -> DataFrame:
@@ -300,8 +320,6 @@ def token_digest(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
     """Per row: id, n_tokens, ids_sha256 (of the little-endian 32-bit ids) and round_trip (the decoded tokens are the text).
 
     The same encoding as ``encode``, without sending every token back to the JVM. A null text has null in all three.
-    Decoding is concatenation, so a text made of units that come back is one that comes back; the units are decoded once
-    each. Without units, whole texts are decoded.
     """
     import pyarrow as pa
 
@@ -318,16 +336,7 @@ def token_digest(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
                 flat, ends = tok.encode(filled)
                 flat = flat.astype("<i4")
                 starts = [0, *ends[:-1].tolist()] if len(ends) else []
-                if tok.by_unit:
-                    split = [dict.fromkeys(tok.units(t)) if t else {} for t in filled]
-                    if len(back) > tok.most_units:
-                        back.clear()
-                    new = [u for u in dict.fromkeys(u for x in split for u in x) if u not in back]
-                    for u, text in zip(new, tok.decode([tok.unit_tokens(u) for u in new]), strict=True):
-                        back[u] = text == u.replace(SPACE, " ")
-                    same = [all(map(back.__getitem__, x)) and SPACE not in t for x, t in zip(split, filled, strict=True)]
-                else:
-                    same = [x == t for x, t in zip(tok.decode([flat[i:j].tolist() for i, j in zip(starts, ends, strict=True)]), filled, strict=True)]
+                same = _come_back(tok, filled, flat, ends, back)
                 rows = [(None, None, None) if t is None else (j - i, hashlib.sha256(flat[i:j].tobytes()).hexdigest(), s) for t, i, j, s in zip(texts, starts, ends.tolist(), same, strict=True)]
                 n, sha, ok = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([ids_of.slice(a, b - a), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(ok, pa.bool_())], [id_col, "n_tokens", "ids_sha256", "round_trip"])

@@ -76,3 +76,12 @@ def test_unigram_model_is_rebuilt():
     c = tk.Coder(data)
     for t in ("ab ab", "b a", "aab bb"):
         assert c.encode([t])[0].tolist() == own.encode(t)
+
+
+def test_round_trip_column(spark):
+    model = tk.read_model(spark, PIECE_MODEL)
+    texts = [None, "", "plain words here", "two  spaces ", "\u2581 marker", "é ü 漢字 \U0001f600", " lead"]
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, round_trip int")
+    rows = tk.decode(tk.encode(df, model, round_trip="round_trip"), model).collect()
+    assert len(rows) == len(texts)
+    assert all(r.round_trip == (None if r.text is None else r.decoded == r.text) for r in rows)
