@@ -48,10 +48,10 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens, and whether they decode to its text; a null text has null tokens."""
+    """Every document's tokens, and whether they decode to its text; both are null for a null text."""
     model = tokenization.read_model(spark, PIECE_MODEL)
-    out = tokenization.decode(tokenization.encode(docs, model), model)
-    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    out = tokenization.encode(docs, model, round_trip="round_trip")
+    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 STAGES = [
