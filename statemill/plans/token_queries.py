@@ -138,7 +138,8 @@ def j4_summary_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 J4_SQL = f"""{_LINES} SELECT CAST(doc AS STRING) AS doc_id, 'opening_balance' AS name, CAST(100000 AS BIGINT) AS value, 0 AS page, CAST(330 AS DOUBLE) AS x0 FROM totals
 UNION ALL SELECT CAST(doc AS STRING), 'closing_balance', CAST(closing * 100 AS BIGINT), 0, CAST(330 AS DOUBLE) FROM totals
-UNION ALL SELECT CAST(doc AS STRING), 'payments_and_credits', CAST(printed * 100 AS BIGINT), 0, CAST(330 AS DOUBLE) FROM lines WHERE doc % 4 = 0 AND ln = 1"""
+UNION ALL SELECT CAST(l.doc AS STRING), 'payments_and_credits', CAST(CASE WHEN n = 1 AND length(CAST(CAST(closing AS DECIMAL(18, 2)) AS STRING)) < length(CAST(printed AS STRING)) THEN closing ELSE printed END * 100 AS BIGINT), 0, CAST(330 AS DOUBLE)
+FROM lines l JOIN totals t ON t.doc = l.doc JOIN (SELECT doc, count(*) AS n FROM lines GROUP BY doc) c ON c.doc = l.doc WHERE l.doc % 4 = 0 AND ln = 1"""
 
 
 def statement_process(spark: SparkSession, sf_dir: str) -> DataFrame:
