@@ -113,3 +113,32 @@ def test_base_spans_are_cut_out_of_a_token(spark, model):
     text = f"see files/deadbeefdeadbeef/{key}/and/{key} end"
     at = text.index(key)
     assert scan(spark, [text], model)[0] == [("hex", 10, 26), ("markov", at - 1, at + 59)]
+
+
+def test_held_out_kinds(spark, model):
+    """Keys of every alphabet are found, also without digits; codes and names in shapes that the samples lack are not."""
+    rng = random.Random(5)
+    draws = {"9": sc.DIGITS, "A": sc.UPPER, "h": sc.DIGITS + "abcdef", "H": sc.DIGITS + "ABCDEF"}
+    shaped = lambda mask: "".join(rng.choice(draws.get(c, c)) for c in mask)
+    words = "apple garden mountain window bridge silver captain doctor evening forest kitchen ladder needle orange planet rabbit shadow tunnel village whisper".split()
+    alphabets = [sc.UPPER + sc.LOWER + sc.DIGITS, sc.LOWER + sc.DIGITS, sc.DIGITS + "ABCDEF", sc.UPPER + "234567", sc.UPPER + sc.LOWER, sc.LOWER]
+    keys = ["".join(rng.choices(a, k=rng.randint(20, 40))) for a in alphabets for _ in range(40)]
+    masks = ["2099-09-29T99-99-99+9999", "20999999T999999Z-99999", "PART-99999-9999-AA-99", "XK9999A-99-9999-REV99", "INV-2099-99-999999-AA", "hhhhhhhh-hhhh-4hhh-9hhh-hhhhhhhhhhhh", "HHHHHHHH-HHHH-4HHH-9HHH-HHHHHHHHHHHH", "/srv/IMG_20999999_999999_"]
+    plain = [shaped(m) + (rng.choice(words) if m[-1] == "_" else "") for m in masks for _ in range(40)]
+    plain += ["".join(w.title() for w in rng.choices(words, k=4)) for _ in range(40)] + ["_".join(rng.choices(words, k=4)) for _ in range(40)] + [c * n for c in "-=_+" for n in (20, 80)]
+    plain += ["Geschwindigkeitsbegrenzung", "anticonstitutionnellement", "electroencefalografista"]
+    got = scan(spark, ["see " + t + " end" for t in keys + plain], model)
+    marked = [any(k == "markov" for k, _, _ in got[i]) for i in range(len(keys + plain))]
+    base = [any(k != "markov" for k, _, _ in got[i]) for i in range(len(keys))]
+    assert sum(a or b for a, b in zip(marked, base)) >= 0.97 * len(keys)
+    assert sum(marked[len(keys) :]) <= 0.01 * len(plain)
+
+
+def test_long_tokens_and_long_lists_of_spans(spark, model):
+    key = "Zq9xK2vB7nM4pL8sW3dF6gH1jT5"
+    texts = ["x" * 50000, "ab-" * 5000, f"{key} and " * 700, "token=abcdefghijklm " * 700]
+    got = scan(spark, texts, model)
+    step = len(key) + 5
+    assert got[2] == [("markov", step * k, step * k + len(key)) for k in range(700)]
+    assert got[3] == brute_base(texts[3]) and len(got[3]) == 700
+    assert got[1] == []
