@@ -79,3 +79,21 @@ def test_spanning(n):
         for a, b in zip(i, j, strict=True):
             low[a] = low[b] = min(low[a], low[b])
     assert vd._spanning(i, j, n).tolist() == low
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs with cosines between 0.93 and 0.95 among unrelated vectors; an id that two different vectors carry joins nothing."""
+    r = np.random.default_rng(4)
+    rows, pairs = [], 600
+    for k in range(pairs):
+        a, b = np.linalg.qr(r.normal(size=(64, 2)))[0].T
+        c = r.uniform(0.9305, 0.95)
+        rows += [(2 * k, a.tolist(), 0), (2 * k + 1, (c * a + np.sqrt(1 - c * c) * b).tolist(), 0)]
+    got = run(spark, rows)
+    assert {g[0] for g in got} == set(range(2 * pairs))
+    found = sum(g[1] for g in got) / 2 / pairs
+    print("recall between 0.93 and 0.95:", found)
+    assert 0.97 <= found <= 1
+    assert all(g[2] // 2 == g[0] // 2 for g in got)
+    twice = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0)]
+    assert [g[1] for g in run(spark, twice)] == [1, 1, 1, 1]
