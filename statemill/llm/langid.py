@@ -6,8 +6,8 @@ the runner-up marks the answer as ambiguous.
 
 Texts are lower-cased, everything but letters becomes one space, and each word stands between spaces. The features are
 the frequencies of n-grams of two, three and four characters, hashed into one table for each n. The classifiers are fitted on a bounded
-sample of labelled documents (``per_language`` for each of at most ``most_languages`` languages, chosen by a hash of the
-text); everything else covers all rows. The model has a fixed size, set by its parameters.
+sample of labelled documents (``per_language`` of each language, or fewer where there are so many languages that this would
+be more than ``most_rows``, but at least one; chosen by a hash of the text); everything else covers all rows. The model has a fixed size, set by its parameters.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ UNDETERMINED = "und"
 class Settings:
     bits: int = 15  # log2 of the table size for each n
     per_language: int = 250
-    most_languages: int = 200
+    most_rows: int = 50000
     rounds: int = 40
     rate: float = 2.0
     decay: float = 1e-6
@@ -34,14 +34,13 @@ class Settings:
 
 
 def _letters():
-    """For each character below 65536 its lower case if that is one letter, else a space; others stand for themselves."""
+    """For each character below 65536 a space, or for letters the lower case, of which the first character counts."""
     import numpy as np
 
     out = np.full(65536, 32, np.uint32)
     for c in range(65536):
-        s = chr(c).lower()
-        if len(s) == 1 and s.isalpha():
-            out[c] = ord(s)
+        if chr(c).isalpha():
+            out[c] = ord(chr(c).lower()[0])
     return out
 
 
@@ -96,6 +95,8 @@ def code_words(n: int):
         return np.array([[1 - 2 * (split >> k & 1) for split in range(1, 2 ** (n - 1))] for k in range(n)][::-1], np.float32)
     width, best, most = 11 + 4 * (n - 1).bit_length(), None, -1
     rng = np.random.default_rng(n)
+    if n > 1000:  # a table of all pairs would be large, and so wide a code's rows lie far apart anyway
+        return rng.choice(np.array([-1, 1], np.float32), (n, width))
     for _ in range(50):
         code = rng.choice(np.array([-1, 1], np.float32), (n, width))
         apart = (width - code @ code.T) / 2
@@ -144,29 +145,30 @@ class Model:
 def sample(docs: DataFrame, text_col: str, lang_col: str, s: Settings) -> DataFrame:
     """At most ``per_language`` different texts of each language, by a hash of the text; evenly from all partitions.
 
-    The driver sees two counts for each of the most frequent languages. Copies of a text count once, or else they would
+    The driver sees one count for each language. Copies of a text count once, or else they would
     enter or miss the sample together and a language made of copies could be left out. A threshold on the hash thins each language to
     about twice its quota before the ranks are taken, so no window holds more than that.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    places = rows.groupBy("lang", F.xxhash64("text").alias("place")).count()
-    counts = places.groupBy("lang").agg(F.sum("count").alias("rows"), F.count("*").alias("texts")).orderBy(F.desc("rows"), "lang").limit(s.most_languages).collect()
+    places = rows.select("lang", F.xxhash64("text").alias("place")).distinct()
+    counts = places.groupBy("lang").agg(F.count("*").alias("texts")).collect()
     if not counts:
         return rows.limit(0)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * s.per_language / r["texts"] + 20.0 / r["texts"])))])
+    quota = max(1, min(s.per_language, s.most_rows // len(counts)))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * quota / r["texts"] + 20.0 / r["texts"])))])
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     from pyspark.sql import Window
 
     thin = rows.where(unit < share[F.col("lang")]).distinct().withColumn("place", F.xxhash64("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
-    return thin.withColumn("rank", rank).where(F.col("rank") <= s.per_language).select("text", "lang")
+    return thin.withColumn("rank", rank).where(F.col("rank") <= quota).select("text", "lang")
 
 
 def train(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
     """Fits the bits' classifiers (logistic loss, full gradient with Adam) on the driver, over sparse features of the sample.
 
-    The executors make the features, so that the driver holds counts and no texts: at most ``per_language`` times
-    ``most_languages`` rows. Rows without a language or letters teach nothing; without any, every answer is "und".
+    The executors make the features, so that the driver holds counts and no texts: at most ``most_rows`` rows, or one for
+    each language. Rows without a language or letters teach nothing; without any, every answer is "und".
     """
     import numpy as np
     import pyarrow as pa

@@ -75,3 +75,16 @@ def test_copies_do_not_keep_a_language_out(spark):
     got = [(r.lang, r.text) for r in li.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", few).collect()]
     assert sorted(t for lang, t in got if lang == "copies") == sorted(late)
     assert len(got) == len(set(got)) and sum(lang == "mixed" for lang, _ in got) == 5
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"{chr(0x4E00 + k)} text {j}", f"l{k:03}") for k in range(250) for j in range(3)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = [r.lang for r in li.sample(df, "text", "lang", li.Settings(most_rows=500)).collect()]
+    assert len(set(got)) == 250 and len(got) == 500
+    assert len({r.lang for r in li.sample(df, "text", "lang", li.Settings(most_rows=10)).collect()}) == 250
+
+
+def test_letters_whose_lower_case_is_two_characters_count():
+    assert [chr(c) for c in li._codes("İ")] == [" ", "i", " "]
+    assert [c for c, low in enumerate(li._letters()) if low != 32] == [c for c in range(65536) if chr(c).isalpha()]
