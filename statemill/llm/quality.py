@@ -53,7 +53,7 @@ def _form(token: str) -> str:
 class Reader:
     """Features of texts; remembers those of ``most`` tokens."""
 
-    def __init__(self, wanted: set[int] | None = None, most: int = 300_000):
+    def __init__(self, wanted: set[int] | None = None, most: int = 100_000):
         self.wanted, self.most, self.known = wanted, most, {}
 
     def _token(self, token: str):

@@ -143,7 +143,7 @@ class Coder:
     With ``verify``, each unit that is new also goes through SentencePiece, and a difference is an error.
     """
 
-    def __init__(self, data: bytes, verify: bool = False, most_units: int = 500_000):
+    def __init__(self, data: bytes, verify: bool = False, most_units: int = 150_000):
         import re
 
         from tokenizers import Tokenizer
