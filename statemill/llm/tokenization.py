@@ -139,13 +139,15 @@ class Coder:
     """Encodes and decodes batches; one per Python worker.
 
     Where no piece reaches across a space, a text's tokens are those of its units (a word with the spaces in front), so
-    each distinct unit goes through the library once and is remembered, until ``most_units`` are (then all are forgotten).
-    With ``verify``, each unit that is new also goes through SentencePiece, and a difference is an error.
+    each distinct unit goes through the library once and is remembered, until ``most_units`` are: then the half that was
+    used most stays. With ``verify``, each unit that is new also goes through SentencePiece, and a difference is an error.
+    With ``trip``, each new unit's tokens are decoded at once, and it is remembered whether they come back as the unit.
     """
 
-    def __init__(self, data: bytes, verify: bool = False, most_units: int = 150_000):
+    def __init__(self, data: bytes, verify: bool = False, trip: bool = False, most_units: int = 150_000):
         import re
 
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.model = model = parse_model(data)
@@ -155,8 +157,10 @@ class Coder:
         self.by_unit = model.cuts_at_spaces and model.dummy_prefix and model.escape_spaces and not (model.charsmap or model.squeeze_spaces)
         self.plain = Tokenizer(self.whole.model)
         self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.most_units, self.own = most_units, None
-        self._forget()
+        self.most_units, self.trip, self.own = most_units, trip, None
+        self.number: dict[str, int] = {}
+        self.start, self.size, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.same = np.zeros(0, np.int32), np.zeros(0, bool)
         if verify:
             import sentencepiece
 
@@ -178,46 +182,64 @@ class Coder:
         """Makes the tokens of these units known."""
         import numpy as np
 
-        if len(self.number) + len(units) > self.most_units:
-            self._forget()
         new = [u for u in units if u not in self.number]
+        if new and self.number and len(self.number) + len(new) > self.most_units:
+            self._forget()
+            new = [u for u in units if u not in self.number]
         if new:
             made = [e.ids for e in self.plain.encode_batch_fast([SPACE + u for u in new], add_special_tokens=False)]
             self._check(new, made)
             size = np.fromiter(map(len, made), np.int64, len(made))
+            same = [text == u.replace(SPACE, " ") for u, text in zip(new, self.decode(made), strict=True)] if self.trip else [False] * len(new)
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            self.same = np.concatenate([self.same, np.array(same, bool)])
             self.pool = np.concatenate([self.pool, np.fromiter((i for x in made for i in x), np.int32, int(size.sum()))])
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
 
     def _forget(self) -> None:
+        """Keeps half of ``most_units`` at most, those that were used most and more than once; their uses count half from now on."""
         import numpy as np
 
-        self.number: dict[str, int] = {}
-        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.most_units // 2])
+        keep = keep[self.uses[keep] > 1]
+        units = list(self.number)
+        self.number = {units[k]: i for i, k in enumerate(keep.tolist())}
+        size = self.size[keep]
+        start = np.cumsum(size) - size
+        self.pool = self.pool[np.repeat(self.start[keep] - start, size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.uses, self.same = start, size, self.uses[keep] // 2, self.same[keep]
 
     def encode(self, texts: list[str]):
-        """(tokens of all texts one after another, ends of each text in them)."""
+        """(tokens of all texts one after another, ends of each text in them, whether each text is what its tokens decode to).
+
+        The last is None without ``trip``. Decoding is concatenation, so a text made of units that come back is one that
+        comes back.
+        """
         import numpy as np
 
         if not self.by_unit:
             ids = [e.ids if t else [] for t, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
             self._check(texts, ids)
-            return np.fromiter((i for x in ids for i in x), np.int32), np.cumsum([len(x) for x in ids], dtype=np.int64)
+            same = [x == t for x, t in zip(self.decode(ids), texts, strict=True)] if self.trip else None
+            return np.fromiter((i for x in ids for i in x), np.int32), np.cumsum([len(x) for x in ids], dtype=np.int64), same
         split = [self.units(t) if t else [] for t in texts]
         units = [u for x in split for u in x]
         seen = set(units)
         if not seen <= self.number.keys():
             self._learn(seen)
         at = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         each = self.size[at]
         ends = np.cumsum(each)
         flat = self.pool[np.repeat(self.start[at] - (ends - each), each) + np.arange(int(each.sum()))]
-        return flat, np.concatenate([[0], ends]).astype(np.int64)[np.cumsum([len(x) for x in split], dtype=np.int64)]
-
-    def unit_tokens(self, unit: str) -> list[int]:
-        k = self.number[unit]
-        return self.pool[self.start[k] : self.start[k] + self.size[k]].tolist()
+        last = np.cumsum([len(x) for x in split], dtype=np.int64)
+        same = None
+        if self.trip:
+            lost = np.concatenate([[0], np.cumsum(~self.same[at])])
+            same = [bool(x) and SPACE not in t for x, t in zip(np.diff(lost[np.concatenate([[0], last])]) == 0, texts, strict=True)]
+        return flat, np.concatenate([[0], ends]).astype(np.int64)[last], same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -226,12 +248,12 @@ class Coder:
 _LOADED: dict[tuple, Coder] = {}
 
 
-def coder(data: bytes, verify: bool = False, threads: int = 2) -> Coder:
-    key = (data, verify)
+def coder(data: bytes, verify: bool = False, trip: bool = False, threads: int = 2) -> Coder:
+    key = (data, verify, trip)
     if key not in _LOADED:
         os.environ |= {"TOKENIZERS_PARALLELISM": "true", "RAYON_NUM_THREADS": str(threads)}
         _LOADED.clear()
-        _LOADED[key] = Coder(data, verify)
+        _LOADED[key] = Coder(data, verify, trip)
     return _LOADED[key]
 
 
@@ -252,21 +274,6 @@ def _schema(df: DataFrame, added: dict[str, str]) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{c}` {kind}" for c, kind in added.items())])
 
 
-def _come_back(tok: Coder, texts: list[str], flat, ends, back: dict[str, bool]) -> list[bool]:
-    """Whether each text is what its tokens decode to; ``back`` remembers units. Decoding is concatenation, so a text made
-    of units that come back is one that comes back; the units are decoded once each. Without units, whole texts are."""
-    if not tok.by_unit:
-        starts = [0, *ends[:-1].tolist()] if len(ends) else []
-        return [x == t for x, t in zip(tok.decode([flat[i:j].tolist() for i, j in zip(starts, ends.tolist(), strict=True)]), texts, strict=True)]
-    split = [dict.fromkeys(tok.units(t)) if t else {} for t in texts]
-    if len(back) > tok.most_units:
-        back.clear()
-    new = [u for u in dict.fromkeys(u for x in split for u in x) if u not in back]
-    for u, text in zip(new, tok.decode([tok.unit_tokens(u) for u in new]), strict=True):
-        back[u] = text == u.replace(SPACE, " ")
-    return [all(map(back.__getitem__, x)) and SPACE not in t for x, t in zip(split, texts, strict=True)]
-
-
 def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", ids_col: str = "token_ids", round_trip: str | None = None, verify: bool = True, threads: int = 2, batch_chars: int = 1_000_000) -> DataFrame:
     """Adds ``ids_col``, the tokens (array of int) of each whole text.
 
@@ -282,16 +289,15 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", ids_col: st
     def run(batches):
         import numpy as np
 
-        tok = coder(model, verify, threads)
-        back: dict[str, bool] = {}
+        tok = coder(model, verify, bool(round_trip), threads)
         for whole in batches:
             texts = whole.column(text_col).to_pylist()
             for a, b in _runs(texts, batch_chars):
                 part = whole.slice(a, b - a)
                 filled, nulls = [t or "" for t in texts[a:b]], np.array([t is None for t in texts[a:b]])
-                flat, ends = tok.encode(filled)
+                flat, ends, same = tok.encode(filled)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(nulls, False))
-                more = [pa.array(_come_back(tok, filled, flat, ends, back), pa.bool_(), mask=nulls)] if round_trip else []
+                more = [pa.array(same, pa.bool_(), mask=nulls)] if round_trip else []
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat)), *more], [*part.schema.names, *added])
 
     added = {ids_col: "array<int>"} | ({round_trip: "boolean"} if round_trip else {})
@@ -305,7 +311,7 @@ def decode(rows: DataFrame, model: bytes, *, ids_col: str = "token_ids", text_co
     kept = rows.drop(text_col)
 
     def run(batches):
-        tok = coder(model, False, threads)
+        tok = coder(model, threads=threads)
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 part = whole.slice(a, 256)
@@ -326,17 +332,15 @@ def token_digest(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
     def run(batches):
         import hashlib
 
-        tok = coder(model, verify, threads)
-        back: dict[str, bool] = {}
+        tok = coder(model, verify, True, threads)
         for whole in batches:
             every, ids_of = whole.column(1).to_pylist(), whole.column(0)
             for a, b in _runs(every, batch_chars):
                 texts = every[a:b]
                 filled = [t or "" for t in texts]
-                flat, ends = tok.encode(filled)
+                flat, ends, same = tok.encode(filled)
                 flat = flat.astype("<i4")
                 starts = [0, *ends[:-1].tolist()] if len(ends) else []
-                same = _come_back(tok, filled, flat, ends, back)
                 rows = [(None, None, None) if t is None else (j - i, hashlib.sha256(flat[i:j].tobytes()).hexdigest(), s) for t, i, j, s in zip(texts, starts, ends.tolist(), same, strict=True)]
                 n, sha, ok = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([ids_of.slice(a, b - a), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(ok, pa.bool_())], [id_col, "n_tokens", "ids_sha256", "round_trip"])

@@ -25,19 +25,29 @@ def test_same_tokens_and_texts_as_sentencepiece(spark, model):
 
 
 def test_whole_text_path_agrees(model):
-    c = tk.Coder(model, verify=True)
+    c = tk.Coder(model, verify=True, trip=True)
     texts = [t for t in TEXTS if t is not None]
-    flat, ends = c.encode(texts)
+    flat, ends, same = c.encode(texts)
     c.by_unit = False
-    flat2, ends2 = c.encode(texts)
-    assert flat.tolist() == flat2.tolist() and ends.tolist() == ends2.tolist()
+    flat2, ends2, same2 = c.encode(texts)
+    assert flat.tolist() == flat2.tolist() and ends.tolist() == ends2.tolist() and same == same2
 
 
 def test_cache_may_overflow(model):
-    c = tk.Coder(model, verify=True, most_units=5)
-    for t in ("a b c d", "e f g h", "a b c d e f g h i j"):
-        flat, _ = c.encode([t])
-        assert flat.tolist() == c.whole.encode(t, add_special_tokens=False).ids
+    c = tk.Coder(model, verify=True, trip=True, most_units=5)
+    for t in ("a b c d a a b", "e f g h", "", "a b c d e f g h i j", "x \u2581 y", "a b x e a"):
+        flat, ends, same = c.encode([t])
+        assert flat.tolist() == (c.whole.encode(t, add_special_tokens=False).ids if t else [])
+        assert ends.tolist() == [len(flat)] and same == [c.decode([flat.tolist()])[0] == t]
+
+
+def test_cache_keeps_what_is_used_most(model):
+    c = tk.Coder(model, verify=True, most_units=6)
+    c.encode(["often often often more more once twice twice"])
+    c.encode(["new words come in"])
+    assert set(c.number) == {"often", "more", "twice", "new", "words", "come", "in"}
+    before = {u: c.pool[c.start[k] : c.start[k] + c.size[k]].tolist() for u, k in c.number.items()}
+    assert before["often"] == c.whole.encode("often", add_special_tokens=False).ids
 
 
 def test_digest(spark, model):
