@@ -1,10 +1,10 @@
 """Line dedup over a sharded minimal perfect hash.
 
-Lines are known by 128-bit hashes of their keys (ends stripped of white space, A-Z lower-cased). The hashes of keys that
-enough documents hold are dealt into shards; each shard gets a minimal perfect hash (levels of bit sets, as in BBHash)
-that numbers its entries, and arrays in that numbering: fingerprint (the second 64 bits), document count and largest
-doc_id. The shards are one table in the shared folder. Every document's line hashes then stream past the arrays of their
-shard: one shard's arrays and one batch of probes are in memory at a time, whatever the size of either side.
+Lines are known by 128-bit hashes of their keys (ends stripped of white space, A-Z lower-cased). All distinct hashes are
+dealt into shards; each shard gets a minimal perfect hash (levels of bit sets, as in BBHash) that numbers its entries,
+and arrays in that numbering: fingerprint (the second 64 bits), document count and largest doc_id. The shards are one
+table in the shared folder. Every document's line hashes then stream past the arrays of their shard, whose counts decide
+which lines go: one shard's arrays and one batch of probes are in memory at a time, whatever the size of either side.
 
 Skew: counts come from an aggregate that is combined before its shuffle. A shard's hits are known from its counts, so a
 shard that holds a very common line is copied to as many salts as bring its probes back to the usual number. Nothing
@@ -177,26 +177,30 @@ def _pack(pdf):
     return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "blob": [blob], "hits": [int(pdf.n.sum())]})
 
 
-def _probe(batches):
+def _probe(min_docs: int):
     """Rows sorted by shard, salt, and arrays before probes; yields the lines that go."""
-    import numpy as np
     import pyarrow as pa
 
-    at, shard = None, None
-    for batch in batches:
-        key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        is_probe = batch.column(2).to_numpy(zero_copy_only=False)
-        doc, h1, h2 = (batch.column(k).fill_null(0).to_numpy() for k in (3, 4, 5))
-        cut = np.flatnonzero((np.diff(key[0], prepend=key[0][:1] - 1) != 0) | (np.diff(key[1], prepend=-1) != 0) | ~is_probe)
-        for i, j in zip(cut, [*cut[1:], batch.num_rows], strict=True):
-            now = int(key[0][i]), int(key[1][i])
-            if not is_probe[i]:
-                at, shard = now, Shard(batch.column(6)[int(i)].as_py())
-                i += 1
-            if i < j and at == now:
-                found, _, last = shard.probe(h1[i:j], h2[i:j])
-                go = found & (last != doc[i:j])
-                yield pa.RecordBatch.from_arrays([pa.array(x[i:j][go]) for x in (doc, h1, h2)], ["doc_id", "h1", "h2"])
+    def run(batches):
+        import numpy as np
+
+        at, shard = None, None
+        for batch in batches:
+            key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            is_probe = batch.column(2).to_numpy(zero_copy_only=False)
+            doc, h1, h2 = (batch.column(k).fill_null(0).to_numpy() for k in (3, 4, 5))
+            cut = np.flatnonzero((np.diff(key[0], prepend=key[0][:1] - 1) != 0) | (np.diff(key[1], prepend=-1) != 0) | ~is_probe)
+            for i, j in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                now = int(key[0][i]), int(key[1][i])
+                if not is_probe[i]:
+                    at, shard = now, Shard(batch.column(6)[int(i)].as_py())
+                    i += 1
+                if i < j and at == now:
+                    found, count, last = shard.probe(h1[i:j], h2[i:j])
+                    go = found & (count >= min_docs) & (last != doc[i:j])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i:j][go]) for x in (doc, h1, h2)], ["doc_id", "h1", "h2"])
+
+    return run
 
 
 def _strip_lines(schema, text_at: int, least: int):
@@ -225,11 +229,11 @@ def _strip_lines(schema, text_at: int, least: int):
     return run
 
 
-def build_index(spark: SparkSession, lines: DataFrame, scratch: Scratch, *, min_docs: int = 3, lines_per_shard: int = 50_000) -> tuple[DataFrame, int]:
+def build_index(spark: SparkSession, lines: DataFrame, scratch: Scratch, *, lines_per_shard: int = 50_000) -> tuple[DataFrame, int]:
     """(table of shard, blob, hits, salts; number of shards) for rows (doc_id, h1, h2), one for each line of a document."""
     seen = Observation("lines")
     counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
-    held = scratch.save(counted.where(F.col("n") >= min_docs))
+    held = scratch.save(counted)
     total = int(seen.get["lines"] or 0)
     shards = max(1, math.ceil(total / lines_per_shard), min(2 * shuffle_partitions(spark), math.ceil(total / 1000)))
     usual = max(1000, total / shards)
@@ -239,14 +243,14 @@ def build_index(spark: SparkSession, lines: DataFrame, scratch: Scratch, *, min_
     return index, shards
 
 
-def lines_to_drop(lines: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """The rows of ``lines`` that an entry of the index has for a larger doc_id; probes stream past the arrays."""
+def lines_to_drop(lines: DataFrame, index: DataFrame, shards: int, *, min_docs: int = 3) -> DataFrame:
+    """The rows of ``lines`` that the index has ``min_docs`` times or more, and for a larger doc_id; probes stream past the arrays."""
     keyed = lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
     salts = index.where("salts > 1").select("shard", "salts")
     probes = keyed.join(salts, "shard", "left").select("shard", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(True).alias("is_probe"), "doc_id", "h1", "h2", F.lit(None).cast("binary").alias("blob"))
     arrays = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_probe"), *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "h1", "h2")), "blob")
     n = shuffle_partitions(lines.sparkSession)
-    return probes.unionByName(arrays).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "is_probe").mapInArrow(_probe, "doc_id long, h1 long, h2 long")
+    return probes.unionByName(arrays).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "is_probe").mapInArrow(_probe(min_docs), "doc_id long, h1 long, h2 long")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, lines_per_shard: int = 50_000) -> DataFrame:
@@ -262,8 +266,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     rows = docs.drop("n_lines", "n_dropped")
     pairs = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = scratch.save(pairs.mapInArrow(_hash_lines(min_chars), "doc_id long, h1 long, h2 long"))
-    index, shards = build_index(spark, lines, scratch, min_docs=min_docs, lines_per_shard=lines_per_shard)
-    gone = scratch.save(lines_to_drop(lines, index, shards))
+    index, shards = build_index(spark, lines, scratch, lines_per_shard=lines_per_shard)
+    gone = scratch.save(lines_to_drop(lines, index, shards, min_docs=min_docs))
     scratch.drop(lines)
     scratch.drop(index)
     per_doc = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))
