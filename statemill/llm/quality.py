@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STEPS = (0.02, 0.1, 0.3, 0.6)
+PART = 262_144
 BEGINNINGS = (3, 4, 5)
 _AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡…“”„’‘"
 
@@ -101,16 +102,16 @@ def grades(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(toxic) == 1, 0).when((F.col(toxic) == 0) & (F.col(quality) == 0), 1).when((F.col(toxic) == 0) & (F.col(quality) == 1), 2)
 
 
-def _select(at, owner, y, n_grades: int, n: int, s: Settings):
-    """Features that stand out: by z and by log odds, in the documents below some threshold against the rest."""
+def _select(used, at, owner, y, n_grades: int, s: Settings):
+    """Features that stand out: by z and by log odds, in the documents below some threshold against the rest. ``at`` holds
+    places in ``used``; the second result has the place of each among those that stand out, or -1."""
     import numpy as np
 
-    used, at = np.unique(at, return_inverse=True)
-    df = np.bincount(at, minlength=len(used))
+    df = _count(at, len(used))
     score = np.zeros(len(used))
     for k in range(n_grades - 1):
         for low in (y <= k, y == k):
-            a = np.bincount(at, low[owner], len(used)) + 0.5
+            a = _count(at, len(used), owner, low) + 0.5
             b, na, nb = df - a + 1.0, low.sum(), (~low).sum()
             c, d = na - a + 1.0, nb - b + 1.0
             odds = np.log(a * d / (b * c))
@@ -119,7 +120,7 @@ def _select(at, owner, y, n_grades: int, n: int, s: Settings):
     ok = (df >= s.least_docs) & (score >= s.least_z)
     if ok.sum() > s.most_features:
         ok &= score >= np.sort(score)[-s.most_features]
-    place = np.full(len(used), -1)
+    place = np.full(len(used), -1, np.int32)
     place[ok] = np.arange(ok.sum())
     return used[ok], place[at]
 
@@ -146,7 +147,8 @@ def train(spark: SparkSession, docs: DataFrame, rated: DataFrame, *, id_col: str
                 found = [np.array(sorted(reader.features(t)), "<u4").tobytes() for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.binary())], ["grade", "features"])
 
-    rows = sorted((r["grade"], bytes(r["features"])) for r in texts.select("__text", "__grade").mapInArrow(read, "grade int, features binary").collect())
+    rows = texts.select("__text", "__grade").mapInArrow(read, "grade int, features binary").collect()
+    rows.sort(key=tuple)
     y, sizes = np.array([g for g, _ in rows], np.int64), np.array([len(b) // 4 for _, b in rows], np.int64)
     flat = np.frombuffer(b"".join(b for _, b in rows), "<u4")
     del rows
@@ -154,17 +156,40 @@ def train(spark: SparkSession, docs: DataFrame, rated: DataFrame, *, id_col: str
 
 
 def _frequent(flat, least: int):
-    """Which of the hashes occur often enough to be selected; a megabyte of hashes at a time."""
+    """The hashes that occur often enough to be selected, sorted. Beside a sorted copy it takes a byte for each hash."""
     import numpy as np
 
     ordered = np.sort(flat)
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(flat) else np.zeros(0, np.int64)
-    known = ordered[first[np.diff(np.append(first, len(flat))) >= least]]
-    del ordered
-    if not len(known):
-        return np.zeros(len(flat), bool)
-    parts = (flat[a : a + 262_144] for a in range(0, len(flat), 262_144))
-    return np.concatenate([known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x for x in parts])
+    most = max(least, 1) - 1
+    if len(ordered) <= most:
+        return ordered[:0]
+    return np.unique(ordered[: len(ordered) - most][ordered[most:] == ordered[: len(ordered) - most]])
+
+
+def _places(flat, sizes, known):
+    """(owner, at) of the hashes that are known: the row each is of, and its place among the known; a megabyte of hashes at a time."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    owner, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for a in range(0, len(flat) if len(known) else 0, PART):
+        x = flat[a : a + PART]
+        k = np.minimum(np.searchsorted(known, x), len(known) - 1).astype(np.int32)
+        hit = np.flatnonzero(known[k] == x)
+        owner.append(np.searchsorted(ends, a + hit, side="right").astype(np.int32))
+        at.append(k[hit])
+    return np.concatenate(owner), np.concatenate(at)
+
+
+def _count(at, n: int, owner=None, rows=None):
+    """How often each place occurs (in these rows); numpy widens what it counts, so a part at a time."""
+    import numpy as np
+
+    out = np.zeros(n, np.int64)
+    for a in range(0, len(at), PART):
+        x = at[a : a + PART]
+        out += np.bincount(x if rows is None else x[rows[owner[a : a + PART]]], minlength=n)
+    return out
 
 
 def fit(flat, sizes, y, s: Settings) -> Model:
@@ -175,9 +200,9 @@ def fit(flat, sizes, y, s: Settings) -> Model:
     if not len(rows):
         return Model({}, [], s)
     levels = int(y.max()) + 1
-    often = _frequent(flat, s.least_docs)  # most words are rare, and rare ones are never selected
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[often]
-    used, at = _select(flat[often], owner, y, levels, len(rows), s)
+    known = _frequent(flat, s.least_docs)  # most words are rare, and rare ones are never selected
+    owner, at = _places(flat, sizes, known)
+    used, at = _select(known, at, owner, y, levels, s)
     owner, at = owner[at >= 0], at[at >= 0]
     # thresholds start at the observed shares; distances between them stay positive as exponentials
     below = np.clip(np.array([(y <= k).mean() for k in range(levels - 1)]), 1e-3, 1 - 1e-3)
