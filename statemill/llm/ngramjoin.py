@@ -16,8 +16,8 @@ partial overlap of two sets is counted for each fragment by itself, as a row (pa
   to the other fragments only as long as the sizes of what is left of the two sets can still bring it to the threshold.
 
 Large groups of near copies must not become all their pairs. So first every node is held against a few pivots only (of
-each shared shingle the two nodes that have most of their first shingles in common with others: the ones in the middle
-of a group), which joins nearly every group. After that only pairs between different components are generated: what is
+each shared shingle two nodes, one from each half, that have most of their first shingles in common with others: the
+ones in the middle of a group), which joins nearly every group. After that only pairs between different components are generated: what is
 left out lies inside a component already and cannot change the answer, so the components are those of all links.
 
 Shuffles are keyed by a shingle, a node or a pair. Where prefixes reach common shingles, their rows are dealt by node, and
@@ -32,7 +32,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Hot, Scratch, components, shuffle_partitions
+from .shared import Hot, Scratch, components, joined_components, shuffle_partitions
 
 _MASK = 0xFFFFFFFFFFFFFFFF
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -224,7 +224,7 @@ def common_counters(first: DataFrame, s: Settings) -> bytes:
     factor, more = s.common
     most = factor * (first.agg(F.sum("n")).first()[0] or 0) / size + more
     blocks = first.where(F.col("block").isNotNull()).select("block", "counts").repartition(min(len(bits), shuffle_partitions(first.sparkSession)), "block")
-    for r in blocks.mapInArrow(_add_blocks(most), "block int, bits binary").toLocalIterator():
+    for r in blocks.mapInArrow(_add_blocks(most), "block int, bits binary").collect():  # half a megabyte at most
         bits[r["block"]] = bytes(r["bits"])
     return b"".join(bits)
 
@@ -370,13 +370,12 @@ def prefixes(held: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     Shingles that a node has alone come first in the order; how many of the head's there are follows from their number
     and that of the shared ones, so they need no rows. A node whose prefix is its own alone disappears.
     """
-    counted = held.join(held.groupBy("key").agg(F.count("*").alias("df")), "key")
-    own = held.groupBy("h", "l", "c").agg(F.count("*").alias("held"), F.first("k").alias("k")).join(nodes.select("h", "l", "node", "n"), ["h", "l"])
-    size = _prefix_size(F.col("n"), s)
-    room = F.when(F.col("k") >= size, size - (F.col("k") - F.col("held"))).otherwise(F.col("held"))
-    roomy = own.select("h", "l", "c", "node", "n", room.alias("room"), size.alias("size")).where("room > 0")
-    rank = F.row_number().over(Window.partitionBy("h", "l", "c").orderBy("df", "key"))
-    placed = counted.join(roomy, ["h", "l", "c"]).withColumn("rank", rank).where("rank <= room")
+    counted = held.join(held.groupBy("key").agg(F.count("*").alias("df")), "key").join(nodes.select("h", "l", "node", "n"), ["h", "l"])
+    order = Window.partitionBy("h", "l", "c").orderBy("df", "key")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = counted.withColumns({"rank": F.row_number().over(order), "held": F.count("*").over(whole), "size": _prefix_size(F.col("n"), s)})
+    room = F.when(F.col("k") >= F.col("size"), F.col("size") - (F.col("k") - F.col("held"))).otherwise(F.col("held"))
+    placed = ranked.withColumn("room", room).where("rank <= room")
     return placed.select("key", "node", "n", F.col("room").cast("int").alias("room"), (F.col("room") / F.col("size")).alias("common"), (F.col("c") == _class(F.col("n"), s)).alias("home"))
 
 
@@ -384,13 +383,16 @@ _PAIR = ("a", "b", "n", "m")
 
 
 def star_pairs(shared: DataFrame, s: Settings) -> DataFrame:
-    """(a, b, n, m): each node with the pivots that it shares most of its first shingles with; two for each node."""
+    """(a, b, n, m): each node with the pivots that it shares most of its first shingles with; two for each node.
+
+    A shingle's pivots are the best node of each half of the nodes, as their hashes part them: one aggregate finds both.
+    """
     order = F.struct((-F.col("common")).alias("o"), F.xxhash64("node").alias("x"), F.col("node"), F.col("n"), F.col("home"))
-    top = shared.groupBy("key").agg(F.min(order).alias("p0"))
-    second = shared.join(top, "key").where(F.col("node") != F.col("p0.node")).groupBy("key").agg(F.min(order).alias("p0"))
-    pivots = top.unionByName(second).select("key", F.col("p0.node").alias("pivot"), F.col("p0.n").alias("m"), F.col("p0.home").alias("base"))
+    best_of = lambda half: F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(2)) == half, order))
+    top = shared.groupBy("key").agg(F.array(best_of(0), best_of(1)).alias("best")).select("key", F.explode("best").alias("p")).where("p IS NOT NULL")
+    pivots = top.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.home").alias("base"))
     pairs = shared.join(pivots, "key").where((F.col("node") != F.col("pivot")) & (F.col("home") | F.col("base")) & _fits(F.col("n"), F.col("m"), s))
-    counted = pairs.groupBy("node", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(F.col("c") * 4 >= _prefix_size(F.col("n"), s))
+    counted = pairs.select("node", "pivot", "n", "m").repartition("node").groupBy("node", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(F.col("c") * 4 >= _prefix_size(F.col("n"), s))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "pivot"))
     chosen = counted.withColumn("rank", best).where("rank <= 2")
     low = F.col("node") < F.col("pivot")
@@ -459,8 +461,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     names = first.where(F.col("block").isNull()).select("doc_id", "n", "h", "l")
     common_var = spark.sparkContext.broadcast(common_counters(first, s))
     known = names.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    # numbers for the names: they are fixed once the table is written
-    nodes = scratch.save(known.groupBy("h", "l").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    repeated = (known.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0) > 1
+    # numbers for the names, fixed once the table is written: the smallest id, unless two sets can have the same one
+    number = F.monotonically_increasing_id() if repeated else F.col("rep")
+    nodes = scratch.save(known.groupBy("h", "l").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n")).withColumn("node", number))
     postings = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(common_var, s), _POSTING_SCHEMA)
     dealt = postings.repartition(shuffle_partitions(spark), F.col("key"), F.expr("if(meta & 1 = 1, h, 0)")).sortWithinPartitions("key", "h").mapInArrow(_only_shared, _POSTING_SCHEMA)
     held = scratch.save(dealt.select("key", "h", "l", F.expr("cast(meta >> 4 as int)").alias("k"), F.expr("cast(meta >> 1 & 7 as int)").alias("c")))
@@ -475,7 +479,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
         ends = pairs.select(F.col("a").alias("node"), c).union(pairs.select(F.col("b").alias("node"), c)).groupBy("node").agg(F.collect_set("c").alias("classes"))
         wanted = ends.join(nodes, "node").select(F.col("rep").alias("doc_id"), "node", "classes", "h", "l")
         texts = rows.join(wanted, "doc_id").select("node", "classes", "h", "l", "text")
-        segments = scratch.save(texts.mapInArrow(_segments(common_var, s), "node long, c int, fragment int, keys array<long>").dropDuplicates(["node", "c", "fragment"]))
+        cut = texts.mapInArrow(_segments(common_var, s), "node long, c int, fragment int, keys array<long>")
+        segments = scratch.save(cut.dropDuplicates(["node", "c", "fragment"]) if repeated else cut)
         found = scratch.save(verify(pairs, segments, scratch, s))
         scratch.drop(segments)
         return found
@@ -486,9 +491,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     more = links_of(cross_pairs(shared, labels, s))
     scratch.drop(shared)
     if more is not None and not more.isEmpty():
-        labels = components(spark, more if near is None else near.union(more), scratch)
-    lows = scratch.save(labels.join(nodes, "node").select("component", "h", "l", "rep"))
-    low = Hot(lows, "component").join(lows, lows.groupBy("component").agg(F.min("rep").alias("component_id")), ["component"], "component", deal="h").select("h", "l", "component_id")
+        labels = joined_components(spark, labels, more, scratch)
+    low = labels.join(nodes, "node").select("h", "l", "rep", "component", F.col("component").alias("component_id"))
+    if repeated:
+        lows = scratch.save(low.drop("component_id"))
+        low = Hot(lows, "component").join(lows, lows.groupBy("component").agg(F.min("rep").alias("component_id")), ["component"], "component", deal="h")
+    low = low.select("h", "l", "component_id")
     named = nodes.join(low, ["h", "l"], "left").select("h", "l", F.coalesce("component_id", "rep").alias("component_id"))
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     own = names.withColumns({"h": F.when(usable, F.col("h")), "l": F.when(usable, F.col("l"))})

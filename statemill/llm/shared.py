@@ -103,9 +103,10 @@ class Hot:
         self.spark = df.sparkSession
         n = shuffle_partitions(self.spark)
         counts = df.groupBy(F.col(column).alias("__hot")).agg(F.count("*").alias("__n"))
-        most = max(200, 2 * math.ceil(df.count() / n))
+        rows = df.count()
+        most = max(200, 2 * math.ceil(rows / n))
         found = counts.where(F.col("__hot").isNotNull() & (F.col("__n") > most)).select("__hot", F.ceil(F.col("__n") / most).cast("int").alias("__salts"))
-        self.rows = [(r[0], r[1]) for r in found.collect()]
+        self.rows = [(r[0], r[1]) for r in found.collect()] if rows > most else []
         self.schema = found.schema
 
     def _salted(self, df: DataFrame, column: str, salt) -> DataFrame:
@@ -131,12 +132,14 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
     result; null ends are dropped. The driver learns whether anything changed, and which nodes are hot.
     """
     ends = links.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst")
-    edges = scratch.save(ends.union(ends.select("dst", "src")).distinct())
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    edges = scratch.save(ends.select(both.alias("e")).select("e.src", "e.dst").distinct())
     labels = scratch.save(edges.groupBy(F.col("src").alias("node")).agg(F.least("src", F.min("dst")).alias("component")))
     hubs = Hot(edges, "dst")
     while True:
-        near = hubs.join(edges, labels.withColumnsRenamed({"node": "dst"}), ["dst"], "dst", deal="src").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
-        step = scratch.save(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("mid")))
+        near = hubs.join(edges, labels.withColumnsRenamed({"node": "dst"}), ["dst"], "dst", deal="src").select(F.col("src").alias("node"), F.col("component").alias("low"), F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", F.col("component").alias("low"), F.col("component").alias("old"))
+        step = scratch.save(near.unionByName(own).groupBy("node").agg(F.max("old").alias("old"), F.min("low").alias("mid")))
         if step.where("mid < old").isEmpty():
             scratch.drop(edges)
             scratch.drop(labels)
@@ -147,3 +150,15 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
         scratch.drop(step)
         scratch.drop(labels)
         labels = after
+
+
+def joined_components(spark: SparkSession, labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (node, component) of ``components``, once more ``links`` (src, dst) join what they name: links are followed
+    between components only, so that rounds are over as many rows as there are new links."""
+    named = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_low"))
+    ends = links.join(named("src"), "src", "left").join(named("dst"), "dst", "left")
+    outer = components(spark, ends.select(F.coalesce("src_low", "src").alias("src"), F.coalesce("dst_low", "dst").alias("dst")), scratch)
+    lower = outer.select(F.col("node").alias("component"), F.col("component").alias("low"))
+    moved = Hot(labels, "component").join(labels, lower, ["component"], "component", "left", deal="node")
+    alone = outer.join(labels.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("low", "component").alias("component")).unionByName(alone.select("node", "component"))

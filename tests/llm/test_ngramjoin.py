@@ -149,3 +149,55 @@ def test_prefix_meets_every_link():
         assert all(o >= nj.needed_of_one(n, s) for m in range(n, 500) for o in (-(-80 * (n + m) // 180),) if m * 80 <= n * 100)
     sets = nj.shingle_sets([b"a b c d e f g", b"A  b\tc d e f g", None, b""], 5)
     assert (sets[0] == sets[1]).all() and len(sets[0]) == 3 and not len(sets[2]) and isinstance(sets[3], np.ndarray)
+
+
+def jobs(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def test_jobs_do_not_grow_with_the_partitions(spark):
+    rows = [(1, 64 << 14, 0, 0, None, None)] + [(None, None, None, None, b, bytes([200 * (b == 5)] * (1 << 14))) for b in range(64)]
+    first = spark.createDataFrame(rows, "doc_id long, n long, h long, l long, block int, counts binary")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        before = jobs(spark)
+        bits = np.unpackbits(np.frombuffer(nj.common_counters(first, nj.Settings(sketch_bits=20)), np.uint8))
+        assert jobs(spark) - before <= 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert np.flatnonzero(bits).tolist() == list(range(5 << 14, 6 << 14))
+
+
+def test_prefixes_and_pivots_take_few_shuffles(spark):
+    held = spark.createDataFrame([(k, h, 0, 3, 0) for k in range(3) for h in range(4)], "key long, h long, l long, k int, c int")
+    nodes = spark.createDataFrame([(h, 0, h, 3) for h in range(4)], "h long, l long, node long, n int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shared = nj.prefixes(held, nodes, nj.Settings())
+        shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert shuffles(shared) <= 4
+        flat = spark.createDataFrame(shared.collect(), shared.schema)
+        assert shuffles(nj.star_pairs(flat, nj.Settings())) <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((r.key, r.node, r.room) for r in flat.collect()) == [(0, h, 1) for h in range(4)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_between_components_join_them(spark, seed):
+    rng = random.Random(seed)
+    near = [(rng.randrange(300), rng.randrange(300)) for _ in range(90)]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)] + [(i, 399 - i) for i in range(350, 360)] * 30
+    rows = lambda links: spark.createDataFrame(links, "src long, dst long")
+    scratch = nj.Scratch(spark, "test")
+    labels = nj.components(spark, rows(near), scratch)
+    got = nj.joined_components(spark, labels, rows(more), scratch)
+    want = nj.components(spark, rows(near + more), scratch)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    low = {i: i for link in near + more for i in link}
+    for _ in low:
+        for a, b in near + more:
+            low[a] = low[b] = min(low[a], low[b])
+    assert sorted(map(tuple, got.collect())) == sorted(low.items())
