@@ -137,7 +137,7 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
     labels = scratch.save(edges.groupBy(F.col("src").alias("node")).agg(F.least("src", F.min("dst")).alias("component")))
     hubs = Hot(edges, "dst")
     while True:
-        near = hubs.join(edges, labels.withColumnsRenamed({"node": "dst"}), ["dst"], "dst", deal="src").select(F.col("src").alias("node"), F.col("component").alias("low"), F.lit(None).cast("long").alias("old"))
+        near = hubs.join(edges, labels.withColumnsRenamed({"node": "dst"}), ["dst"], "dst", deal="src").select(F.col("src").alias("node"), F.col("component").alias("low"), F.lit(None).cast(labels.schema["component"].dataType).alias("old"))
         own = labels.select("node", F.col("component").alias("low"), F.col("component").alias("old"))
         step = scratch.save(near.unionByName(own).groupBy("node").agg(F.max("old").alias("old"), F.min("low").alias("mid")))
         if step.where("mid < old").isEmpty():

@@ -201,3 +201,10 @@ def test_links_between_components_join_them(spark, seed):
         for a, b in near + more:
             low[a] = low[b] = min(low[a], low[b])
     assert sorted(map(tuple, got.collect())) == sorted(low.items())
+
+
+def test_repeated_ids_change_no_component(spark):
+    docs = corpus(5, 30)
+    again = docs[::3] * 2
+    want = brute(docs)
+    assert sorted(run(spark, docs + again)) == sorted(want + [r for i, _ in again for r in want if r[0] == i])
