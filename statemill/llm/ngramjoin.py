@@ -32,7 +32,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Hot, Scratch, components, joined_components, shuffle_partitions
+from .shared import Hot, Scratch, components, joined_components, lookup, shuffle_partitions
 
 _MASK = 0xFFFFFFFFFFFFFFFF
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -370,7 +370,7 @@ def prefixes(held: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     Shingles that a node has alone come first in the order; how many of the head's there are follows from their number
     and that of the shared ones, so they need no rows. A node whose prefix is its own alone disappears.
     """
-    counted = held.join(held.groupBy("key").agg(F.count("*").alias("df")), "key").join(nodes.select("h", "l", "node", "n"), ["h", "l"])
+    counted = held.join(lookup(held.groupBy("key").agg(F.count("*").alias("df"))), "key").join(lookup(nodes.select("h", "l", "node", "n")), ["h", "l"])
     order = Window.partitionBy("h", "l", "c").orderBy("df", "key")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = counted.withColumns({"rank": F.row_number().over(order), "held": F.count("*").over(whole), "size": _prefix_size(F.col("n"), s)})
@@ -391,7 +391,7 @@ def star_pairs(shared: DataFrame, s: Settings) -> DataFrame:
     best_of = lambda half: F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(2)) == half, order))
     top = shared.groupBy("key").agg(F.array(best_of(0), best_of(1)).alias("best")).select("key", F.explode("best").alias("p")).where("p IS NOT NULL")
     pivots = top.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.home").alias("base"))
-    pairs = shared.join(pivots, "key").where((F.col("node") != F.col("pivot")) & (F.col("home") | F.col("base")) & _fits(F.col("n"), F.col("m"), s))
+    pairs = shared.join(lookup(pivots), "key").where((F.col("node") != F.col("pivot")) & (F.col("home") | F.col("base")) & _fits(F.col("n"), F.col("m"), s))
     counted = pairs.select("node", "pivot", "n", "m").repartition("node").groupBy("node", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(F.col("c") * 4 >= _prefix_size(F.col("n"), s))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "pivot"))
     chosen = counted.withColumn("rank", best).where("rank <= 2")
@@ -402,7 +402,7 @@ def star_pairs(shared: DataFrame, s: Settings) -> DataFrame:
 
 def cross_pairs(shared: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     """(a, b, n, m): all pairs of different components that the overlap of their prefixes leaves within reach of the threshold."""
-    named = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = shared.join(lookup(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rows = named.join(mixed, "key").drop("common")
     other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("room").alias("space"), F.col("component").alias("other"), F.col("home").alias("base"))
@@ -417,7 +417,7 @@ def cross_pairs(shared: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
 def partial_overlaps(pairs: DataFrame, segments: DataFrame, hubs: tuple[Hot, Hot]) -> DataFrame:
     """Rows (a, b, n, m, c, fragment) with o, the overlap in that fragment, and x and y, the sizes of the two segments there."""
     side = lambda name, keys: segments.select(F.col("node").alias(name), "c", "fragment", F.col("keys").alias(keys))
-    left = hubs[0].join(pairs, side("a", "ka"), ["a", "c", "fragment"], "a", deal="b")
+    left = hubs[0].join(lookup(pairs), side("a", "ka"), ["a", "c", "fragment"], "a", deal="b")
     both = hubs[1].join(left, side("b", "kb"), ["b", "c", "fragment"], "b", deal="a")
     return both.select(*_PAIR, "c", "fragment", F.size(F.array_intersect("ka", "kb")).alias("o"), F.size("ka").alias("x"), F.size("kb").alias("y"))
 
@@ -477,7 +477,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
             return None
         c = F.greatest(_class(F.col("n"), s), _class(F.col("m"), s)).alias("c")
         ends = pairs.select(F.col("a").alias("node"), c).union(pairs.select(F.col("b").alias("node"), c)).groupBy("node").agg(F.collect_set("c").alias("classes"))
-        wanted = ends.join(nodes, "node").select(F.col("rep").alias("doc_id"), "node", "classes", "h", "l")
+        wanted = lookup(ends).join(nodes, "node").select(F.col("rep").alias("doc_id"), "node", "classes", "h", "l")
         texts = rows.join(wanted, "doc_id").select("node", "classes", "h", "l", "text")
         cut = texts.mapInArrow(_segments(common_var, s), "node long, c int, fragment int, keys array<long>")
         segments = scratch.save(cut.dropDuplicates(["node", "c", "fragment"]) if repeated else cut)
@@ -492,10 +492,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     scratch.drop(shared)
     if more is not None and not more.isEmpty():
         labels = joined_components(spark, labels, more, scratch)
-    low = labels.join(nodes, "node").select("h", "l", "rep", "component", F.col("component").alias("component_id"))
+    low = lookup(labels).join(lookup(nodes), "node").select("h", "l", "rep", "component", F.col("component").alias("component_id"))
     if repeated:
         lows = scratch.save(low.drop("component_id"))
-        low = Hot(lows, "component").join(lows, lows.groupBy("component").agg(F.min("rep").alias("component_id")), ["component"], "component", deal="h")
+        low = Hot(lows, "component").join(lows, lookup(lows.groupBy("component").agg(F.min("rep").alias("component_id"))), ["component"], "component", deal="h")
     low = low.select("h", "l", "component_id")
     named = nodes.join(low, ["h", "l"], "left").select("h", "l", F.coalesce("component_id", "rep").alias("component_id"))
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()

@@ -93,6 +93,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Tables of more bytes on disk are no broadcast side. Ids compress well: as a hash table, which the driver builds, they
+#: take up to 35 times as much.
+BROADCAST_BYTES = 1 << 18
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """``df`` as a join's side that is broadcast only if all it reads is small.
+
+    Spark compares the size of compressed files with its threshold, so that at its default of 10 MB the driver would build
+    hash tables of hundreds of MB. What a shuffle has measured is not compressed and needs no such care.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.hint("merge") if size > BROADCAST_BYTES else df
+
+
 class Hot:
     """The frequent values of a column: those with more rows than two usual partitions, so fewer than there are partitions.
 
@@ -137,7 +153,7 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
     labels = scratch.save(edges.groupBy(F.col("src").alias("node")).agg(F.least("src", F.min("dst")).alias("component")))
     hubs = Hot(edges, "dst")
     while True:
-        near = hubs.join(edges, labels.withColumnsRenamed({"node": "dst"}), ["dst"], "dst", deal="src").select(F.col("src").alias("node"), F.col("component").alias("low"), F.lit(None).cast(labels.schema["component"].dataType).alias("old"))
+        near = hubs.join(edges, lookup(labels.withColumnsRenamed({"node": "dst"})), ["dst"], "dst", deal="src").select(F.col("src").alias("node"), F.col("component").alias("low"), F.lit(None).cast(labels.schema["component"].dataType).alias("old"))
         own = labels.select("node", F.col("component").alias("low"), F.col("component").alias("old"))
         step = scratch.save(near.unionByName(own).groupBy("node").agg(F.max("old").alias("old"), F.min("low").alias("mid")))
         if step.where("mid < old").isEmpty():
@@ -145,7 +161,7 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
             scratch.drop(labels)
             return step.select("node", F.col("mid").alias("component"))
         jump = step.where("mid < node").select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        moved = Hot(step, "mid").join(step, jump, ["mid"], "mid", "left", deal="node")
+        moved = Hot(step, "mid").join(step, lookup(jump), ["mid"], "mid", "left", deal="node")
         after = scratch.save(moved.select("node", F.coalesce("far", "mid").alias("component")))
         scratch.drop(step)
         scratch.drop(labels)
@@ -155,10 +171,10 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
 def joined_components(spark: SparkSession, labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``labels`` (node, component) of ``components``, once more ``links`` (src, dst) join what they name: links are followed
     between components only, so that rounds are over as many rows as there are new links."""
-    named = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_low"))
+    named = lambda end: lookup(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_low")))
     ends = links.join(named("src"), "src", "left").join(named("dst"), "dst", "left")
     outer = components(spark, ends.select(F.coalesce("src_low", "src").alias("src"), F.coalesce("dst_low", "dst").alias("dst")), scratch)
     lower = outer.select(F.col("node").alias("component"), F.col("component").alias("low"))
-    moved = Hot(labels, "component").join(labels, lower, ["component"], "component", "left", deal="node")
-    alone = outer.join(labels.select("node"), "node", "left_anti")
+    moved = Hot(labels, "component").join(labels, lookup(lower), ["component"], "component", "left", deal="node")
+    alone = outer.join(lookup(labels.select("node")), "node", "left_anti")
     return moved.select("node", F.coalesce("low", "component").alias("component")).unionByName(alone.select("node", "component"))

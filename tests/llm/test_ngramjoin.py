@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statemill.llm import ngramjoin as nj
+from statemill.llm.shared import Scratch, lookup
 
 
 def shingles(t, k=5):
@@ -208,3 +209,16 @@ def test_repeated_ids_change_no_component(spark):
     again = docs[::3] * 2
     want = brute(docs)
     assert sorted(run(spark, docs + again)) == sorted(want + [r for i, _ in again for r in want if r[0] == i])
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    with Scratch(spark, "test") as scratch:
+        n = 400_000  # under 10 MB on disk, and tens of MB as a hash table
+        shared = scratch.save(spark.range(n).select((F.col("id") % (n // 2)).alias("key"), F.xxhash64("id").alias("node"), F.lit(9).cast("long").alias("n"), F.lit(1).alias("room"), F.lit(1.0).alias("common"), F.lit(True).alias("home")))
+        labels = scratch.save(spark.range(n).select(F.xxhash64("id").alias("node"), F.xxhash64(F.col("id") % 9).alias("component")))
+        s = nj.Settings()
+        for df in (nj.star_pairs(shared, s), nj.cross_pairs(shared, labels, s)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        few = scratch.save(labels.limit(10))
+        assert "Broadcast" in shared.join(lookup(few), "node")._jdf.queryExecution().executedPlan().toString()
